@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, format_dups, top_n
+from lattica.llm import best_record, format_dups, near_dups, top_n
 from lattica.plans.tables import table
 
 
@@ -46,7 +46,24 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return best.select("source_entity_id", "triple_id", "place")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found}
+#: Papers are versions of each other above this share of common four-word sequences.
+VERSION_SHARE = 0.4
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of papers that are versions of each other."""
+    papers = table(spark, root, "papers", "seq", "paper_id", "full_text")
+    found = near_dups.pairs(papers, "paper_id", "seq", "full_text", VERSION_SHARE)
+    return found.select(F.col("id_a").alias("paper_id_a"), F.col("id_b").alias("paper_id_b"))
+
+
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Every paper with its version group and its number of links."""
+    papers = table(spark, root, "papers", "seq", "paper_id", "full_text")
+    return near_dups.classes(papers, "paper_id", "seq", "full_text", VERSION_SHARE).withColumnRenamed("id", "paper_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
