@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, format_dups, near_dups, top_n
+from lattica.llm import best_record, bpe, format_dups, near_dups, top_n
 from lattica.plans.tables import table
 
 
@@ -63,7 +63,12 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
     return near_dups.classes(papers, "paper_id", "seq", "full_text", VERSION_SHARE).withColumnRenamed("id", "paper_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p8_ids": p8_ids}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
