@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, bpe, format_dups, near_dups, spam, top_n
+from lattica.llm import best_record, bpe, format_dups, leaks, near_dups, spam, top_n
 from lattica.plans.tables import table
 
 
@@ -68,12 +68,18 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that carry passages of held-out items, with the items."""
+    docs, items = table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text")
+    return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Pages stuffed with keywords, links or tags."""
     return spam.spam(table(spark, root, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
