@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, bpe, format_dups, leaks, near_dups, spam, top_n
+from lattica.llm import best_record, bpe, format_dups, leaks, near_dups, spam, split_items, top_n
 from lattica.plans.tables import table
 
 
@@ -63,6 +63,25 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
     return near_dups.classes(papers, "paper_id", "seq", "full_text", VERSION_SHARE).withColumnRenamed("id", "paper_id")
 
 
+#: Longest piece of a chunk and of a paper, and the overlap of consecutive pieces, in characters.
+CHUNK_LIMIT, PAPER_LIMIT, OVERLAP = 800, 5000, 100
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows whose text is over the limit, from the pieces planned for them."""
+    chunks = split_items.offsets(table(spark, root, "chunks", "seq", "content"), F.col("seq"), "content", CHUNK_LIMIT, OVERLAP)
+    papers = split_items.offsets(table(spark, root, "papers", "seq", "full_text"), F.col("seq"), "full_text", PAPER_LIMIT, OVERLAP)
+    kinds = chunks.select(F.lit("chunk").alias("kind"), F.col("key").alias("seq")).unionByName(papers.select(F.lit("paper").alias("kind"), F.col("key").alias("seq")))
+    return kinds.distinct()
+
+
+def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces themselves, with their section titles."""
+    chunks = split_items.split_rows(table(spark, root, "chunks", "seq", "content", "section_title"), F.col("seq"), "content", CHUNK_LIMIT, OVERLAP, F.col("section_title"))
+    papers = split_items.split_rows(table(spark, root, "papers", "seq", "full_text"), F.col("seq"), "full_text", PAPER_LIMIT, OVERLAP)
+    return chunks.withColumn("kind", F.lit("chunk")).unionByName(papers.withColumn("kind", F.lit("paper"))).withColumnRenamed("key", "seq")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
@@ -79,10 +98,13 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam(table(spark, root, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
+    "p7_found": """
+SELECT 'chunk' AS kind, seq FROM chunks WHERE length(content) > 800
+UNION ALL SELECT 'paper', seq FROM papers WHERE length(full_text) > 5000""",
     "p5_found": f"""
 WITH e AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS n FROM entities WHERE entity_id IS NOT NULL),
 long AS (
