@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, bpe, format_dups, leaks, near_dups, spam, split_items, top_n
+from lattica.llm import best_record, bpe, format_dups, leaks, name_link, near_dups, spam, split_items, top_n
 from lattica.plans.tables import table
 
 
@@ -21,6 +21,27 @@ def p1_collapsed(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("first").alias("first_seq"), "n_copies")
 
 
+def _names(spark: SparkSession, root: str) -> DataFrame:
+    """(scope, human, id, name, where) of author mentions and entities."""
+    authors = table(spark, root, "author_items", "mention_id", "name", "affiliation")
+    entities = table(spark, root, "entities", "entity_id", "entity_type", "name")
+    nowhere = F.lit(None).cast("string")
+    a = authors.select(F.lit("author").alias("scope"), F.lit(True).alias("human"), F.col("mention_id").alias("id"), "name", F.col("affiliation").alias("where"))
+    e = entities.select(F.concat(F.lit("entity:"), "entity_type").alias("scope"), (F.col("entity_type") == "Author").alias("human"), F.col("entity_id").alias("id"), "name", nowhere.alias("where"))
+    return a.unionByName(e)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of author mentions of one person, and of entities of one thing."""
+    pairs = name_link.pairs_of(name_link.linked(_names(spark, root)))
+    return pairs.select(F.split("scope", ":")[0].alias("kind"), "id_a", "id_b").distinct()
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Every author mention and entity with the group it is linked into."""
+    return name_link.linked(_names(spark, root)).select(F.split("scope", ":")[0].alias("kind"), "id", F.md5("grp").alias("group_id")).distinct()
+
+
 def _entity_args(spark: SparkSession, root: str) -> tuple:
     entities = table(spark, root, "entities", "entity_id", "seq", "llm_model", "extracted_at", "description", "properties", "source_chunk_ids")
     fields = [best_record.text_field("description"), best_record.map_field("properties"), best_record.list_field("source_chunk_ids")]
@@ -98,7 +119,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam(table(spark, root, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
