@@ -6,9 +6,9 @@
    what tells namesakes apart (a person's institution; null where unknown).
 2. Distinct words of a scope are joined on their q-grams: each word offers its rarest padded q-grams, as many as
    an edit can destroy plus one (prefix filter), with their positions; candidates within one edit
-   (insertion, deletion, replacement, swap) are variants of one another.
-3. A word's weight is log(1 + N / df), df over all its variants, so a rare typo of a common word stays
-   light. Each record offers its heaviest words as keys: the fewest whose remainder could no longer reach
+   (insertion, deletion, replacement, swap), two among persons of one place, are variants of one another.
+3. A word's weight is log(1 + N / df), df over all its variants and short forms, so a rare typo of a common
+   word stays light. Each record offers its heaviest words as keys: the fewest whose remainder could no longer reach
    the similarity THETA alone (weighted prefix filter). Records that offer variants of one word in one place,
    or where a place is unknown, are candidates.
 4. A pair is verified by the soft weighted cosine of its words, where each word counts with its best partner
@@ -135,7 +135,7 @@ for _line in NICKNAMES:
 
 #: What sets one version, size or part of a thing apart from another.
 DESIGNATIONS = frozenset("xs xxs xl xxl xxxl base large small tiny mini micro nano medium big huge giant lite light pro plus max ultra dev test train valid validation ii iii iv vi vii viii ix alpha beta gamma cased uncased".split())
-STOP = frozenset("the of a an and for in on at by to with from de del der die das und".split())
+STOP = frozenset("the of and for".split())
 #: Words that most institutions share, beside the ones their names differ by.
 PLACE_WORDS = frozenset("university univ universitat universidad universite institute inst institut instituto technology tech technical college coll computing comp research res laboratory laboratories lab labs department dept school faculty division centre center science sciences sci computer informatics data main campus".split())
 WORD = re.compile(r"[^\W_]+")
@@ -220,8 +220,9 @@ def likeness(a: str, b: str, edits: int) -> float:
         return 1.0
     if min(len(a), len(b)) < LEAST_LETTERS:
         return 0.0
-    n = near(a, b, edits if min(len(a), len(b)) >= 7 else 1)
-    return {1: 0.95, 2: 0.85}.get(n, 0.0)
+    most = edits if min(len(a), len(b)) >= 7 else 1
+    n = near(a, b, most)
+    return 0.0 if n > most else 0.95 if n == 1 else 0.85
 
 
 def same_given(a: str, b: str) -> bool:
@@ -347,26 +348,29 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec), pa.array(words, strings), pa.array(inits, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "place"])
 
 
-def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        yield batch.filter(pa.array([near(x, y) == 1 for x, y in zip(a, b, strict=True)], pa.bool_()))
+def _near_words(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            yield batch.filter(pa.array([likeness(x, y, edits) > 0 for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    return run
 
 
-def variants(tokens: DataFrame) -> DataFrame:
-    """(scope, a, b): words of a scope within one edit of each other, both ways, without equal ones."""
+def variants(tokens: DataFrame, edits: int = 1) -> DataFrame:
+    """(scope, a, b): words of a scope within so many edits of each other, both ways, without equal ones."""
     padded = F.concat(F.lit("^^"), F.col("token"), F.lit("$$"))
     spots = F.transform(F.sequence(F.lit(1), F.length("token") + GRAM - 1), lambda p: F.struct(F.substring(padded, p, F.lit(GRAM)).alias("gram"), p.alias("pos")))
     grams = tokens.where(F.length("token") >= LEAST_LETTERS).select("scope", "token", F.explode(spots).alias("g")).select("scope", "token", "g.gram", "g.pos")
     spread = grams.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("scope", "token").orderBy("n", "gram", "pos"))
-    prefix = cut(grams.join(spread, ["scope", "gram"]).withColumn("rank", rank).where(F.col("rank") <= DESTROYED + 1).select("scope", "token", "gram", "pos"), "prefix")
+    prefix = cut(grams.join(spread, ["scope", "gram"]).withColumn("rank", rank).where(F.col("rank") <= DESTROYED * edits + 1).select("scope", "token", "gram", "pos"), "prefix")
     # An edit moves the grams behind it by one place at most.
-    left = prefix.select("scope", "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"), F.col("token").alias("a"))
+    left = prefix.select("scope", "gram", F.explode(F.array(*(F.col("pos") + d for d in range(-edits, edits + 1)))).alias("pos"), F.col("token").alias("a"))
     right = prefix.select("scope", "gram", "pos", F.col("token").alias("b"))
-    close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)
+    close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= edits)
     pairs = left.join(right, ["scope", "gram", "pos"]).where(close).select("scope", "a", "b").distinct()
-    found = pairs.mapInArrow(_near_words, "scope string, a string, b string")
+    found = pairs.mapInArrow(_near_words(edits), "scope string, a string, b string")
     return found.unionByName(found.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
@@ -394,8 +398,14 @@ def linked(names: DataFrame) -> DataFrame:
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
     similar = cut(variants(tokens), "variants")
+    # Within one place the words are few, so two edits are told from other words.
+    local = records.where(F.col("human") & F.col("place").isNotNull()).select(F.concat_ws("\x1f", "scope", "place").alias("scope"), F.explode(F.array_distinct("words")).alias("token")).distinct()
+    closer = cut(variants(local, 2), "closer")
     total = tokens.groupBy("scope").agg(F.sum("df").alias("N"))
-    around = similar.join(tokens.select("scope", F.col("token").alias("b"), F.col("df").alias("dfb")), ["scope", "b"]).groupBy("scope", F.col("a").alias("token")).agg(F.sum("dfb").alias("more"))
+    # Short forms count with the names they stand for; the list is fixed and small.
+    kin = names.sparkSession.createDataFrame(sorted({p for w, fulls in STANDS.items() for x in fulls if x != w for p in ((w, x), (x, w))}), "a string, b string")
+    kin = tokens.select("scope", F.col("token").alias("a")).join(F.broadcast(kin), "a").select("scope", "a", "b")
+    around = similar.unionByName(kin).distinct().join(tokens.select("scope", F.col("token").alias("b"), F.col("df").alias("dfb")), ["scope", "b"]).groupBy("scope", F.col("a").alias("token")).agg(F.sum("dfb").alias("more"))
     weight = F.log(1 + F.col("N") / (F.col("df") + F.coalesce("more", F.lit(0))))
     weights = tokens.join(around, ["scope", "token"], "left").join(total, "scope").select("scope", "token", weight.alias("weight"))
     weighed = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
@@ -408,7 +418,9 @@ def linked(names: DataFrame) -> DataFrame:
         "records",
     )
     offers = full.select("rec", "scope", "human", "place", F.explode("keys").alias("token"))
-    reach = offers.unionByName(offers.join(similar.select("scope", F.col("a").alias("token"), F.col("b").alias("as")), ["scope", "token"]).select("rec", "scope", "human", "place", F.col("as").alias("token")))
+    reach = offers.unionByName(
+        offers.withColumn("at", F.concat_ws("\x1f", "scope", "place")).join(closer.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as")), ["at", "token"]).select("rec", "scope", "human", "place", F.col("as").alias("token"))
+    ).unionByName(offers.join(similar.select("scope", F.col("a").alias("token"), F.col("b").alias("as")), ["scope", "token"]).select("rec", "scope", "human", "place", F.col("as").alias("token")))
 
     def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         x, y = left.select(*on, F.col("rec").alias("ra"), "human"), right.select(*on, F.col("rec").alias("rb"))
