@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import best_record, bpe, format_dups, leaks, name_link, near_dups, spam, split_items, top_n
+from lattica.llm import best_record, bpe, format_dups, leaks, name_link, near_dups, scan_repair, spam, split_items, top_n
 from lattica.plans.tables import table
 
 
@@ -67,6 +67,22 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return best.select("source_entity_id", "triple_id", "place")
 
 
+def _scans(spark: SparkSession, root: str) -> scan_repair.Repair:
+    chunks, papers = table(spark, root, "chunks", "seq", "content"), table(spark, root, "papers", "seq", "full_text")
+    c = chunks.select(F.lit("chunk").alias("kind"), F.col("seq").alias("id"), F.col("content").alias("text"))
+    return scan_repair.Repair(c.unionByName(papers.select(F.lit("paper").alias("kind"), F.col("seq").alias("id"), F.col("full_text").alias("text"))))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows whose text holds what scanning and page layout put in."""
+    return _scans(spark, root).found().select("kind", F.col("id").alias("seq"))
+
+
+def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """All texts of chunks and papers as continuous paragraphs."""
+    return _scans(spark, root).repaired().select("kind", F.col("id").alias("seq"), "text")
+
+
 #: Papers are versions of each other above this share of common four-word sequences.
 VERSION_SHARE = 0.4
 
@@ -119,7 +135,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam(table(spark, root, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
 SQL = {
