@@ -39,8 +39,11 @@ HAN_FUNCTION = frozenset(OF) | frozenset("的了而在与是和被对为于将
 WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿][^\W㐀-鿿]*(?:['’@-][^\W㐀-鿿]+)*")
 HAN = re.compile(r"[㐀-鿿]")
 LINE = re.compile(r"[\r\n\f]+")
-UNIT = re.compile(r"(?<=[.!?])[\"”)]*\s+|(?<=[。！？；])|\s+[|·•]\s+")
+#: Where a unit may end; the character itself decides what must follow it.
+END = re.compile(r"[.!?。！？；|·•]")
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+|(?:>>|->|=>|[-–—:])\s*[\w-]+(?:\.[\w-]+)+(?:/\S*)?|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
+#: What every link has, apart from markup: a dot before a letter.
+DOT = re.compile(r"\.[A-Za-z]")
 TAG = re.compile(r"[#＃][^\s#＃,;|]+")
 SEPARATOR = re.compile(r"[,;|·•/、；，>#*]")
 REFERENCE = re.compile(r"\(?\b(?:19|20)\d\d[a-z]?\b\)?.*\d+\s*[-–]\s*\d+|^\s*\[\d+\].*\b(?:19|20)\d\d\b|\(\d+\)\s*,")
@@ -57,24 +60,45 @@ LEAST_PAGES = 30
 REPEATED, LINKED, TAGGED = 0.5, 0.3, 0.3
 
 
+def units_of(line: str) -> Iterator[str]:
+    """A line cut after sentence ends that white space follows, after Han ones, and at separators that stand alone."""
+    at, n = 0, len(line)
+    for m in END.finditer(line):
+        k = m.end()
+        c = line[k - 1]
+        if c in ".!?":
+            while k < n and line[k] in '"”)':
+                k += 1
+            if not (k < n and line[k].isspace()):
+                continue
+        elif c in "|·•" and not (k < n and line[k].isspace() and k > 1 and line[k - 2].isspace()):
+            continue
+        if k > at:
+            yield line[at:k]
+            at = k
+    if at < n:
+        yield line[at:]
+
+
 def measure(text: str) -> tuple[str | None, float, list[tuple]]:
     """(language, function-word share, units) of one page."""
     pieces, line_of = [], []
     for line in LINE.split(text):
-        for p in UNIT.split(line):
-            if p and not p.isspace():
+        for p in units_of(line):
+            if not p.isspace():
                 pieces.append(p)
                 line_of.append(line)
     build = {}
     words, spoken, hits = [], [], Counter()
+    linky = "](" in text or "<" in text or DOT.search(text) is not None
     for p in pieces:
-        bare = LINK.sub(" ", p) if "." in p or "](" in p or "<" in p else p
+        bare = LINK.sub(" ", p) if linky and ("](" in p or "<" in p or DOT.search(p)) else p
         w = WORD.findall(bare.lower())
         words.append((w, len(p) - len(bare) + bare.count(" ") - p.count(" ") if bare is not p else 0, bare))
         spoken.append(w)
     counts = Counter(chain.from_iterable(spoken))
     lines = Counter(p.strip() for p in pieces)
-    n_han = sum(n for w, n in counts.items() if len(w) == 1 and "㐀" <= w <= "鿿")
+    n_han = 0 if text.isascii() else sum(n for w, n in counts.items() if len(w) == 1 and "㐀" <= w <= "鿿")
     total = sum(counts.values())
     zh = n_han > 0.5 * total
     if zh:
@@ -82,9 +106,8 @@ def measure(text: str) -> tuple[str | None, float, list[tuple]]:
         lang = "zh"
     else:
         func_of = OF
-        for w, n in counts.items():
-            if w in OF:
-                hits[OF[w]] += n
+        for w in counts.keys() & OF.keys():
+            hits[OF[w]] += counts[w]
         lang = hits.most_common(1)[0][0] if hits else None
     han_pairs = Counter(chain.from_iterable(zip(w, w[1:], strict=False) for w in spoken)) if zh else None
     func = [sum(map(func_of.__contains__, w)) for w in spoken]
