@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,11 @@ def keywords(question: Column) -> Column:
 
 def expanded(words: Column) -> Column:
     """The keywords plus the synonyms of each concept one of them names, sorted and distinct."""
-    groups = []
-    for zh, english in SYNONYMS.items():
-        def hit(w, zh=zh, english=english):
-            low = F.lower(w)
-            found = F.contains(w, F.lit(zh))
-            for e in english:
-                found = found | F.contains(low, F.lit(e))
-            return found
-        groups.append(F.when(F.exists(words, hit), F.array(*(F.lit(e) for e in english))).otherwise(F.array().cast("array<string>")))
+    def names(concept: str, english: list[str]):
+        return lambda w: reduce(lambda a, e: a | F.contains(F.lower(w), F.lit(e)), english, F.contains(w, F.lit(concept)))
+
+    none = F.array().cast("array<string>")
+    groups = [F.when(F.exists(words, names(zh, english)), F.array(*map(F.lit, english))).otherwise(none) for zh, english in SYNONYMS.items()]
     return F.array_sort(F.array_distinct(F.concat(words, *groups)))
 
 

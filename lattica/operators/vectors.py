@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.constants import TOP_K_CHUNKS
 from lattica.functions.text import cosine
@@ -40,7 +41,7 @@ def embed(df: DataFrame, text: str, embedder: Embedder | None = None, out: str =
     """`df` plus a vector column, computed in Arrow batches."""
     run = embedder or HashingEmbedder()
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(s: pd.Series) -> pd.Series:
         return pd.Series(list(run(s.fillna("").tolist())))
 

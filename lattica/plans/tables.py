@@ -50,7 +50,7 @@ def bounded(df: DataFrame, max_rows: int, what: str) -> list:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a frame, for deciding on a broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
