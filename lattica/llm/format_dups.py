@@ -28,7 +28,7 @@ SALTS = 8
 
 def plain_form(text: Column) -> Column:
     """Letters, marks and digits only, in one case."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{M}\p{N}]+", "")
+    return F.regexp_replace(F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{M}\p{N}]+", "")
 
 
 def sorted_form(text: Column) -> Column:
