@@ -15,7 +15,7 @@ from lattica.plans.tables import cut
 
 def extractive(prompt: str) -> str:
     """Offline generator: the first lines of what was retrieved."""
-    lines = [x.strip() for x in prompt.split("\n") if x.strip() and not x.startswith(("#", "="))]
+    lines = [x.strip("# ") for x in prompt.split("\n") if x.strip() and not x.startswith(("## ", "="))]
     return " ".join(lines[:3])[:600]
 
 
@@ -24,8 +24,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, papers: DataFrame, chunks: DataFrame, entities: DataFrame, triples: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None):
         self.spark, self.papers, self.chunks = spark, papers, chunks
-        self.vertices = graph.nodes(entities)
-        self.links = graph.edges(triples, self.vertices)
+        # Written once: every method reads these two, most of them several times.
+        self.vertices = cut(graph.nodes(entities), "vertices")
+        self.links = cut(graph.edges(triples, self.vertices), "links")
         self.embedder, self.generate = embedder or vectors.HashingEmbedder(), generator or extractive
 
     @classmethod

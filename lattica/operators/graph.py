@@ -53,7 +53,7 @@ def ego(links: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, DataF
     frontier = reached
     for _ in range(hops):
         step = frontier.join(pairs, frontier["node"] == pairs["s"]).select("seed", F.col("t").alias("node")).distinct()
-        frontier = step.join(reached, ["seed", "node"], "left_anti")
+        frontier = cut(step.join(reached, ["seed", "node"], "left_anti"), "frontier")
         reached = reached.unionByName(frontier)
     a = reached.withColumnRenamed("node", "s")
     inside = a.join(pairs, "s").join(reached.withColumnRenamed("node", "t"), ["seed", "t"])
