@@ -43,15 +43,13 @@ def sections(papers: DataFrame, key: str = "seq", text: str = "full_text") -> Da
     there is no window over a long paper and nothing to sort.
     """
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), strip), lambda x: x != "")
-    folded = F.aggregate(
-        lines,
-        F.array(F.struct(F.lit("Abstract").alias("heading"), F.array().cast("array<string>").alias("body"))),
-        lambda acc, x: F.when(is_heading(x), F.concat(acc, F.array(F.struct(x.alias("heading"), F.array().cast("array<string>").alias("body"))))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["heading"].alias("heading"), F.concat(F.element_at(acc, -1)["body"], F.array(x)).alias("body"))))
-        ),
-    )
-    kept = F.filter(folded, lambda s: F.size(s["body"]) > 0)
-    out = papers.where(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("pos", "s"))
+    # Columns of their own, so that lines are split once and judged once.
+    split = papers.where(F.col(text).isNotNull()).select(key, lines.alias("_lines"))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(is_heading(x), i + 1)), lambda i: i.isNotNull())
+    marked = split.select(key, "_lines", F.concat(F.array(F.lit(0)), places).alias("_at"))
+    stop = lambda k: F.coalesce(F.try_element_at("_at", k + 2), F.size("_lines") + 1)
+    parts = F.transform("_at", lambda s, k: F.struct(F.when(s == 0, "Abstract").otherwise(F.try_element_at("_lines", F.greatest(s, F.lit(1)))).alias("heading"), F.slice("_lines", s + 1, stop(k) - s - 1).alias("body")))
+    out = marked.select(key, F.posexplode(F.filter(parts, lambda s: F.size(s["body"]) > 0)).alias("pos", "s"))
     return out.select(key, "pos", F.col("s.heading").alias("heading"), F.array_join("s.body", "\n").alias("content"))
 
 
