@@ -138,7 +138,19 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
+_FIELD = format_dups.FIELD.replace("'", "''")
+
+
+def _canon(x: str) -> str:
+    return f"regexp_replace(replace(lower(upper({x})), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+
+
+_FORMS = f"""f AS (SELECT seq, {_canon("content")} AS plain, string_split(regexp_replace(content, '{_FIELD}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM chunks WHERE content IS NOT NULL),
+g AS (SELECT seq, plain, CASE WHEN len(parts) >= 3 AND {_canon("parts[1]")} = '' THEN array_to_string(list_sort(list_transform(parts[2:], lambda x: {_canon("x")})), '') END AS fields FROM f WHERE plain <> ''),
+k AS (SELECT plain, coalesce(min(fields), plain) AS key FROM g GROUP BY plain), m AS (SELECT seq, key FROM g JOIN k USING (plain))"""
 SQL = {
+    "p1_found": f"WITH {_FORMS} SELECT first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY key) AS first_seq FROM m) WHERE seq <> first_seq",
+    "p1_collapsed": f"WITH {_FORMS} SELECT min(seq) AS first_seq, CAST(count(*) AS BIGINT) AS n_copies FROM m GROUP BY key",
     "p7_found": """
 SELECT 'chunk' AS kind, seq FROM chunks WHERE length(content) > 800
 UNION ALL SELECT 'paper', seq FROM papers WHERE length(full_text) > 5000""",
