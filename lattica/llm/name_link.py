@@ -2,7 +2,8 @@
 
 1. Names are parsed once per distinct (scope, place, spelling): case, accents, titles, footnote marks and order
    are set aside; persons give words and initials, things give words and designations (versions,
-   years, sizes, splits). A scope is what may be linked at all (persons, or things of one type); a place is
+   years, sizes, splits). Glued words are cut where a capital follows small letters; the whole spelling without
+   gaps and the words as they were before cutting are kept as further forms. A scope is what may be linked at all (persons, or things of one type); a place is
    what tells namesakes apart (a person's institution; null where unknown).
 2. Distinct words of a scope are joined on their q-grams: each word offers its rarest padded q-grams, as many as
    an edit can destroy plus one (prefix filter), with their positions; candidates within one edit
@@ -13,11 +14,12 @@
    or where a place is unknown, are candidates.
 4. A pair is verified by the soft weighted cosine of its words, where each word counts with its best partner
    (equal, variant, nickname, abbreviation, acronym, initial), and must not contradict itself: other given
-   names, initials or designations.
+   names, initials or designations. Things whose spellings differ by gaps alone are the same.
 5. Links within known places are closed transitively; a record of unknown place joins the one group it
    matches, and none if it matches namesakes in several places; what is left unknown is linked among itself.
 
-Defined cases: null and blank names, and names without a letter, are linked to nothing. Repeated rows and equal
+Defined cases: null and blank names, and names without a letter, are linked to nothing. A thing's name of designations
+alone ('GPT4') is one word. Repeated rows and equal
 spellings are one record. An id with several spellings belongs to the groups of all of them. Ties do not
 arise. Extra columns are ignored.
 """
@@ -179,21 +181,46 @@ def person(name: str) -> tuple[list[str], list[str]]:
     return words, initials
 
 
+def uncased(word: str) -> list[str]:
+    """The parts of a word of a name, cut where a capital follows two or more letters of which the last is small."""
+    cuts = [k for k in range(2, len(word)) if word[k].isupper() and word[k - 1].islower() and word[k - 2].isalpha()]
+    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+
+def _thing_text(name: str) -> str:
+    """A thing's name without the acronym that repeats it in brackets at the end."""
+    m = re.search(r"\(\s*([a-z]{2,6})\s*\)\s*$", name, re.I)
+    if m and sum(len(uncased(w)) for w in WORD.findall(name[: m.start()])) >= len(m.group(1)) - 1:
+        return name[: m.start()]
+    return name
+
+
 def thing(name: str) -> tuple[list[str], list[str]]:
     """(words, designations) of a thing's name."""
-    text = fold(name)
-    m = re.search(r"\(\s*([a-z]{2,6})\s*\)\s*$", text)
-    if m and len(WORD.findall(text[: m.start()])) >= len(m.group(1)) - 1:
-        text = text[: m.start()]
     words, marks = [], []
-    for w in WORD.findall(text):
+    for w in (x for raw in WORD.findall(unicodedata.normalize("NFC", _thing_text(name))) for part in uncased(raw) for x in WORD.findall(fold(part))):
         if any(c.isdigit() for c in w) or w in DESIGNATIONS:
             marks.append(w)
         elif w not in STOP:
             words.append(w)
+    if not words and any(c.isalpha() for m in marks for c in m):
+        words = ["".join(marks)]
     return words, sorted(marks)
 
 
+def glued(name: str) -> list[str]:
+    """Further forms of a thing's name: the whole spelling without gaps first, then each word that thing() cuts."""
+    raw = WORD.findall(unicodedata.normalize("NFC", _thing_text(name)))
+    raw = raw[1:] if len(raw) > 1 and fold(raw[0]) == "the" else raw
+    join = lambda w: "".join(WORD.findall(fold(w)))
+    first = uncased(raw[0]) if raw else []
+    whole = "".join(map(join, first[1:] if len(first) > 1 and fold(first[0]) == "the" else first))
+    for w in map(join, raw[1:]):
+        # Between digits the gap counts: 81.7 is not 8.17.
+        whole += "." + w if whole[-1:].isdigit() and w[:1].isdigit() else w
+    return list(dict.fromkeys([whole, *(join(w) for w in raw if len(uncased(w)) > 1)]))
+
+
 def near(a: str, b: str, most: int = 1) -> int:
     """Edits between two words, a swap counting as one; most + 1 if more than `most`."""
     if a == b:
@@ -287,11 +314,29 @@ def _abbreviates(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
+def _glue(words: list[str], other: list[str]) -> list[str]:
+    """The words with each run that the other name has as one word put together."""
+    out, at = [], 0
+    whole = {w for w in other if len(w) > 1} - set(words)
+    while at < len(words):
+        end = next((j for j in range(len(words), at + 1, -1) if "".join(words[at:j]) in whole), at + 1)
+        out.append("".join(words[at:end]))
+        at = end
+    return out
+
+
 def match_things(a: tuple, b: tuple, wa: dict, wb: dict) -> float:
     """Soft weighted cosine of two things' names, or 0 if they contradict each other."""
-    (words_a, marks_a), (words_b, marks_b) = a, b
+    (words_a, marks_a, *more_a), (words_b, marks_b, *more_b) = a, b
+    if more_a and more_b and more_a[0][0] == more_b[0][0]:
+        return 1.0
     if marks_a != marks_b:
         return 0.0
+    if (len(words_a) == 1) != (len(words_b) == 1) and (s := likeness("".join(words_a), "".join(words_b), 1)):
+        return s
+    words_a, words_b = _glue(words_a, words_b), _glue(words_b, words_a)
+    # A run put together weighs what the other name's word does.
+    wa, wb = {**{w: wb[w] for w in words_a if w in wb}, **wa}, {**{w: wa[w] for w in words_b if w in wa}, **wb}
     pairs, left_a, left_b = _pair_up(words_a, words_b, lambda x, y: likeness(x, y, 1))
     if not pairs:
         return 0.0
@@ -330,7 +375,7 @@ def _acronym(short: str, words: list[str]) -> bool:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(scope, name, place text) to records; scope 'person' takes people's names."""
     for batch in batches:
-        rec, words, inits, place = [], [], [], []
+        rec, words, inits, forms, place = [], [], [], [], []
         keep = []
         for k, (scope, human, name, where) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
             w, i = person(name) if human else thing(name)
@@ -340,12 +385,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep.append(k)
             words.append(w)
             inits.append(i)
+            forms.append([] if human else glued(name))
             place.append(p)
-            rec.append("\x1f".join((scope, p or "", " ".join(w), " ".join(i))))
+            rec.append("\x1f".join((scope, p or "", " ".join(w), " ".join(i), " ".join(forms[-1]))))
         if keep:
             part = batch.take(pa.array(keep))
             strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec), pa.array(words, strings), pa.array(inits, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "place"])
+            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec), pa.array(words, strings), pa.array(inits, strings), pa.array(forms, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "forms", "place"])
 
 
 def _near_words(edits: int):
@@ -384,7 +430,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = x["a"]["place"] is not None and x["a"]["place"] == x["b"]["place"]
                 score = match_persons(a, b, wa, wb, 2 if known else 1)
             else:
-                score = match_things(a, b, wa, wb)
+                score = match_things((*a, x["a"]["forms"]), (*b, x["b"]["forms"]), wa, wb)
             keep.append(score >= THETA)
         yield batch.filter(pa.array(keep, pa.bool_())).select(["ra", "rb", "pa", "pb"])
 
@@ -393,11 +439,13 @@ def linked(names: DataFrame) -> DataFrame:
     """(scope, id, grp): from rows (scope, human, id, name, where), the group of each id; ids without a usable name are left out."""
     src = names.where(F.col("name").isNotNull() & F.col("id").isNotNull() & F.col("scope").isNotNull())
     spelt = src.select("scope", "human", "name", "where").distinct()
-    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec string, words array<string>, inits array<string>, place string"), "names")
-    records = parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("scope", "human", "words", "inits", "place")))
+    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec string, words array<string>, inits array<string>, forms array<string>, place string"), "names")
+    records = parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("scope", "human", "words", "inits", "forms", "place")))
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
-    similar = cut(variants(tokens), "variants")
+    # Forms without gaps are compared like words, so that a typo in one does not part it.
+    spelt_as = tokens.select("scope", "token").unionByName(records.select("scope", F.explode("forms").alias("token"))).distinct()
+    similar = cut(variants(spelt_as), "variants")
     # Within one place the words are few, so two edits are told from other words.
     local = records.where(F.col("human") & F.col("place").isNotNull()).select(F.concat_ws("\x1f", "scope", "place").alias("scope"), F.explode(F.array_distinct("words")).alias("token")).distinct()
     closer = cut(variants(local, 2), "closer")
@@ -414,7 +462,7 @@ def linked(names: DataFrame) -> DataFrame:
     keyed = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda k: F.struct(F.element_at("ws", k)["token"].alias("token"), F.aggregate(F.slice("ws", 1, k - 1), F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]).alias("before")))
     prefix = F.transform(F.filter(keyed, lambda x: F.col("square") - x["before"] >= THETA * THETA * F.col("square")), lambda x: x["token"])
     full = cut(
-        records.join(weighed, "rec").withColumn("square", square).select("rec", "scope", "human", "place", prefix.alias("keys"), F.struct("words", "inits", "place", F.col("ws.token").alias("tok"), F.col("ws.weight").alias("w")).alias("r")),
+        records.join(weighed, "rec").withColumn("square", square).select("rec", "scope", "human", "place", F.array_union(prefix, F.col("forms")).alias("keys"), F.struct("words", "inits", "forms", "place", F.col("ws.token").alias("tok"), F.col("ws.weight").alias("w")).alias("r")),
         "records",
     )
     offers = full.select("rec", "scope", "human", "place", F.explode("keys").alias("token"))

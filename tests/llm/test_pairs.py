@@ -82,3 +82,14 @@ def test_linking(spark):
     got = {(r.scope, r.id_a, r.id_b) for r in name_link.pairs_of(name_link.linked(df)).collect()}
     assert got == {("author", "m1", "m2"), ("author", "m1", "m3"), ("author", "m2", "m3"), ("author", "m5", "m6"), ("entity:Model", "e1", "e2")}
     assert name_link.linked(df.limit(0)).collect() == []
+
+
+def test_glued_things(spark):
+    rows = [
+        ("entity:Method", "g1", "HotaloskContrastiveAlignment"), ("entity:Method", "g2", "Hotalosk Contrastive Alignment"), ("entity:Method", "g3", "hotaloskcontrastivealignment"), ("entity:Method", "g4", "hotaloskcontrstivealignment"),
+        ("entity:Institution", "g5", "MironinzInstituteofTechnology"), ("entity:Institution", "g6", "Mironinz Institute of Technology"), ("entity:Model", "g7", "GijehexTaggerV1"), ("entity:Model", "g8", "Gijehex Tagger v2"), ("entity:Model", "g9", "gijehextaggerv2"),
+        ("entity:Result", "h1", "Zehehanz 81.7 nDCG"), ("entity:Result", "h2", "Zehehanz 8.17 nDCG"), ("entity:Dataset", "h3", "Dataset, Arxiv"), ("entity:Dataset", "h4", "ArXiv Dataset"),
+    ]
+    df = spark.createDataFrame(rows, "scope string, id string, name string").selectExpr("scope", "false AS human", "id", "name", "CAST(null AS string) AS where")
+    got = {(r.id_a, r.id_b) for r in name_link.pairs_of(name_link.linked(df)).collect()}
+    assert got == {(a, b) for g in (("g1", "g2", "g3", "g4"), ("g5", "g6"), ("g8", "g9"), ("h3", "h4")) for a in g for b in g if a < b}
