@@ -9,9 +9,11 @@
    an edit can destroy plus one (prefix filter), with their positions; candidates within one edit
    (insertion, deletion, replacement, swap), two among persons of one place, are variants of one another.
 3. A word's weight is log(1 + N / df), df over all its variants and short forms, so a rare typo of a common
-   word stays light. Each record offers its heaviest words as keys: the fewest whose remainder could no longer reach
-   the similarity THETA alone (weighted prefix filter). Records that offer variants of one word in one place,
-   or where a place is unknown, are candidates.
+   word stays light. Candidates are bounded by what verification accepts. Of two matching things one has its
+   heaviest word matched, so heaviest words meet all words, their variants included. Of two matching persons any word
+   may be the only matched one, so all words are keys, with a first letter that the rest of both names must share
+   (initials, first letters of the other words, their variants and full forms), which also splits common names.
+   Persons meet in one place, or where a place is unknown.
 4. A pair is verified by the soft weighted cosine of its words, where each word counts with its best partner
    (equal, variant, nickname, abbreviation, acronym, initial), and must not contradict itself: other given
    names, initials or designations. Things whose spellings differ by gaps alone are the same.
@@ -276,6 +278,11 @@ def match_persons(a: tuple, b: tuple, wa: dict, wb: dict, edits: int) -> float:
     pairs, left_a, left_b = _pair_up(words_a, words_b, lambda x, y: likeness(x, y, edits) or (0.95 if same_given(x, y) else 0.0))
     if not pairs:
         return 0.0
+    if left_a and left_b:
+        # Initials cover words crosswise ('Hiroshi T. Hapasort', 'Hiroshi H. Tigalols'): only the heaviest word tells then.
+        top_a, top_b = max(wa.get(w, 1.0) for w in words_a), max(wb.get(w, 1.0) for w in words_b)
+        if not any(wa.get(words_a[i], 1.0) >= top_a or wb.get(words_b[j], 1.0) >= top_b for i, j, _ in pairs):
+            return 0.0
     init_a, init_b, dot = list(init_a), list(init_b), 0.0
 
     def spend(word: str, initials: list[str]) -> bool:
@@ -457,26 +464,41 @@ def linked(names: DataFrame) -> DataFrame:
     weight = F.log(1 + F.col("N") / (F.col("df") + F.coalesce("more", F.lit(0))))
     weights = tokens.join(around, ["scope", "token"], "left").join(total, "scope").select("scope", "token", weight.alias("weight"))
     weighed = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
-    # Weighted prefix: words in falling weight until the rest has under THETA of the norm.
-    square = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])
-    keyed = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda k: F.struct(F.element_at("ws", k)["token"].alias("token"), F.aggregate(F.slice("ws", 1, k - 1), F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]).alias("before")))
-    prefix = F.transform(F.filter(keyed, lambda x: F.col("square") - x["before"] >= THETA * THETA * F.col("square")), lambda x: x["token"])
+    heavy = F.transform(F.filter("ws", lambda x: x["weight"] >= F.col("ws")[0]["weight"]), lambda x: x["token"])
     full = cut(
-        records.join(weighed, "rec").withColumn("square", square).select("rec", "scope", "human", "place", F.array_union(prefix, F.col("forms")).alias("keys"), F.struct("words", "inits", "forms", "place", F.col("ws.token").alias("tok"), F.col("ws.weight").alias("w")).alias("r")),
+        records.join(weighed, "rec").select("rec", "scope", "human", "place", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), F.struct("words", "inits", "forms", "place", F.col("ws.token").alias("tok"), F.col("ws.weight").alias("w")).alias("r")),
         "records",
     )
-    offers = full.select("rec", "scope", "human", "place", F.explode("keys").alias("token"))
-    reach = offers.unionByName(
-        offers.withColumn("at", F.concat_ws("\x1f", "scope", "place")).join(closer.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as")), ["at", "token"]).select("rec", "scope", "human", "place", F.col("as").alias("token"))
-    ).unionByName(offers.join(similar.select("scope", F.col("a").alias("token"), F.col("b").alias("as")), ["scope", "token"]).select("rec", "scope", "human", "place", F.col("as").alias("token")))
-
-    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        x, y = left.select(*on, F.col("rec").alias("ra"), "human"), right.select(*on, F.col("rec").alias("rb"))
-        return x.join(y, on).where("ra <> rb").select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "human")
-
-    known_r, known_o = reach.where("place IS NOT NULL"), offers.where("place IS NOT NULL")
-    open_r = reach.where("place IS NULL")
-    pairs = meet(known_r, known_o, ["scope", "token", "place"]).unionByName(meet(open_r, offers, ["scope", "token"])).distinct()
+    # What else a word may stand as: variants and nicknames of the scope, closer variants of the place.
+    stands = names.sparkSession.createDataFrame(sorted({(x, y) for x in STANDS for y in STANDS if x != y and same_given(x, y)}), "token string, as string")
+    people = full.where("human").select("rec", "scope", "place", F.explode("keys").alias("token"))
+    near_by = closer.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as"))
+    wide = similar.select("scope", F.col("a").alias("token"), F.col("b").alias("as"))
+    columns = ["rec", "scope", "place", "token", "as"]
+    others = people.join(wide, ["scope", "token"]).select(*columns).unionByName(people.join(F.broadcast(stands), "token").select(*columns))
+    others = others.unionByName(people.withColumn("at", F.concat_ws("\x1f", "scope", "place")).join(near_by, ["at", "token"]).select(*columns))
+    spread = cut(people.withColumn("as", F.col("token")).unionByName(others).distinct(), "spread")
+    # The letters the rest of a name offers beside each word; "" where there is no other word.
+    full_forms = names.sparkSession.createDataFrame(sorted({(x, f[0]) for x, fulls in STANDS.items() for f in fulls}), "token string, letter string")
+    firsts = spread.select("rec", "token", F.substring("as", 1, 1).alias("letter")).unionByName(spread.select("rec", "token").join(F.broadcast(full_forms), "token").select("rec", "token", "letter")).groupBy("rec", "token").agg(F.collect_set("letter").alias("letters"))
+    rests = firsts.groupBy("rec").agg(F.collect_list(F.struct("token", "letters")).alias("all")).join(full.select("rec", "r.words", "r.inits"), "rec")
+    rest = F.filter("all", lambda y: y["token"] != F.col("x.token"))
+    again = F.size(F.filter("words", lambda w: w == F.col("x.token"))) > 1
+    letters = F.concat(F.flatten(F.transform("rest", lambda y: y["letters"])), F.col("inits"), F.when(again, F.col("x.letters")).when(F.size("words") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    rests = rests.withColumn("x", F.explode("all")).withColumn("rest", rest).select("rec", F.col("x.token").alias("token"), F.explode(F.array_distinct(letters)).alias("letter"))
+    reach = cut(spread.join(rests, ["rec", "token"]).select("rec", "scope", "place", F.col("as").alias("token"), "letter").distinct(), "reach")
+    offers = cut(people.join(rests, ["rec", "token"]).select("rec", "scope", "place", "token", "letter"), "offers")
+    parts = full.where("NOT human").select("rec", "scope", "heavy", "keys")
+    heads = parts.select("rec", "scope", F.explode("heavy").alias("token"))
+    heads = heads.unionByName(heads.join(wide, ["scope", "token"]).select("rec", "scope", F.col("as").alias("token"))).distinct()
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], human: bool) -> DataFrame:
+        x, y = left.select(*on, F.col("rec").alias("ra")), right.select(*on, F.col("rec").alias("rb"))
+        return x.join(y, on).where("ra <> rb").select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), F.lit(human).alias("human"))
+
+    known_r, known_o, open_r = reach.where("place IS NOT NULL"), offers.where("place IS NOT NULL"), reach.where("place IS NULL")
+    pairs = meet(known_r, known_o, ["scope", "token", "letter", "place"], True).unionByName(meet(open_r, offers, ["scope", "token", "letter"], True))
+    pairs = cut(pairs.unionByName(meet(heads, parts.select("rec", "scope", F.explode("keys").alias("token")), ["scope", "token"], False)).distinct(), "pairs")
     a, b = full.select(F.col("rec").alias("ra"), F.col("place").alias("pa"), F.col("r").alias("a")), full.select(F.col("rec").alias("rb"), F.col("place").alias("pb"), F.col("r").alias("b"))
     checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "pa", "pb", "human", "a", "b")
     links = cut(checked.mapInArrow(_verify, "ra string, rb string, pa string, pb string"), "links")
