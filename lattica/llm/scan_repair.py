@@ -538,6 +538,18 @@ def _misread(shipped):
     return run
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, id, form): the words that _misread judges, each once a text."""
+    for batch in batches:
+        at, forms = [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            own = set(tokens_of(text)[1:-1])
+            at += [k] * len(own)
+            forms += own
+        part = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("id"), pa.array(forms, pa.string())], names=["kind", "id", "form"])
+
+
 class Repair:
     """The models and decisions over one corpus of rows (kind, id, text)."""
 
@@ -574,7 +586,7 @@ class Repair:
             shipped = self.rows.sparkSession.sparkContext.broadcast(frozenset(r.form for r in self.words.select("form").collect()))
             misread = self.rows.mapInArrow(_misread(shipped), "kind string, id bigint")
         else:
-            tokens = self.rows.select("kind", "id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("form"))
+            tokens = self.rows.mapInArrow(_judged, "kind string, id bigint, form string")
             misread = tokens.join(self.words, "form", "left_semi").select("kind", "id")
         return pages.unionByName(broken).unionByName(misread).distinct()
 

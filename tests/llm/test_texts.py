@@ -173,3 +173,17 @@ def test_character_editor_held_out():
         total += 1
         right += forms[scan_repair.pick(model["chars"], options)] == w
     assert right > 0.9 * total
+
+
+def test_misread_words_joined_like_broadcast():
+    import pyarrow as pa
+
+    texts = ["noi5e at the edge noi5e", "a model of gra-\ndient noi5e here", "plain", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["c"] * 4), pa.array([1, 2, 3, 4], pa.int64()), pa.array(texts)], names=["kind", "id", "text"])
+    rows = [tuple(r.values()) for out in scan_repair._judged(iter([batch])) for r in out.to_pylist()]
+    for form in ("noi5e", "gra", "dient", "model"):
+        class Shipped:
+            value = frozenset([form])
+
+        kept = [r["id"] for out in scan_repair._misread(Shipped)(iter([batch])) for r in out.to_pylist()]
+        assert sorted(i for _, i, f in rows if f == form) == kept
