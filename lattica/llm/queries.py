@@ -56,14 +56,14 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_survivors(spark: SparkSession, root: str) -> DataFrame:
     """One surviving record per entity, fields chosen by trust- and recency-weighted votes."""
-    return best_record.survivors(*_entity_args(spark, root), rule="votes")
+    return best_record.survivors(*_entity_args(spark, root))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """The five triples of highest confidence per source entity."""
     triples = table(spark, root, "triples", "seq", "triple_id", "source_entity_id", "confidence", "created_at")
     last = top_n.latest(triples, "triple_id", "seq", "source_entity_id", "confidence", "created_at")
-    best = top_n.top_n(last, "source_entity_id", "confidence", 5, [F.col("created_at").desc(), F.col("triple_id").asc()])
+    best = top_n.top_n(last, "source_entity_id", "confidence", 5, [("created_at", "desc"), ("triple_id", "asc")])
     return best.select("source_entity_id", "triple_id", "place")
 
 
@@ -105,11 +105,11 @@ CHUNK_LIMIT, PAPER_LIMIT, OVERLAP = 800, 5000, 100
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    """Rows whose text is over the limit, from the pieces planned for them."""
+    """Rows whose text is over the limit: those whose planned pieces are more than one."""
     chunks = split_items.offsets(table(spark, root, "chunks", "seq", "content"), F.col("seq"), "content", CHUNK_LIMIT, OVERLAP)
     papers = split_items.offsets(table(spark, root, "papers", "seq", "full_text"), F.col("seq"), "full_text", PAPER_LIMIT, OVERLAP)
-    kinds = chunks.select(F.lit("chunk").alias("kind"), F.col("key").alias("seq")).unionByName(papers.select(F.lit("paper").alias("kind"), F.col("key").alias("seq")))
-    return kinds.distinct()
+    of = lambda kind, pieces: split_items.oversized(pieces).select(F.lit(kind).alias("kind"), F.col("key").alias("seq"))
+    return of("chunk", chunks).unionByName(of("paper", papers))
 
 
 def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
@@ -119,6 +119,13 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
     return chunks.withColumn("kind", F.lit("chunk")).unionByName(papers.withColumn("kind", F.lit("paper"))).withColumnRenamed("key", "seq")
 
 
+def p7_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The texts that the pieces spell when their overlaps are dropped, with the longest piece: a round trip."""
+    pieces = p7_pieces(spark, root).select(F.struct("kind", "seq").alias("key"), "piece", "content")
+    longest = pieces.groupBy("key").agg(F.max(F.length("content")).alias("longest"))
+    return split_items.joined(pieces, OVERLAP).join(longest, "key").select("key.kind", "key.seq", "text", (F.col("longest") <= F.when(F.col("key.kind") == "chunk", CHUNK_LIMIT).otherwise(PAPER_LIMIT)).alias("within"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
@@ -135,22 +142,51 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam(table(spark, root, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_whole": p7_whole, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+
+_WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_STAND_INS = "'na', 'nan', 'nil', 'none', 'null', 'unknown', 'unspecified', 'undefined', 'missing', 'empty', 'notspecified', 'notavailable', 'notapplicable', 'notgiven', 'notprovided', 'notknown', 'novalue', 'nodata', 'tbd', 'tba', 'todo', '未知', '不详', '无', '暂无', '未提供', '待定'"
+_VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + _STAND_INS + "))"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
+
 
-_VALUE = "(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{s}'" for s in best_record.STAND_INS) + "))"
-_FIELD = format_dups.FIELD.replace("'", "''")
+# A list of named fields, written for RE2: a name of up to 31 characters before a colon or equals sign, at the start or after a separator.
+_NAMED = r"""(?:\A|[;,|\t\r\n{\[])(?:[\s{\[(>"“”]|[-–—*•·]|'')*(\pL[\pL\pN_ ]{0,30}?)(?:[\s"“”*]|'')*[:=]"""
 
 
 def _canon(x: str) -> str:
     return f"regexp_replace(replace(lower(upper({x})), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
 
 
-_FORMS = f"""f AS (SELECT seq, {_canon("content")} AS plain, string_split(regexp_replace(content, '{_FIELD}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM chunks WHERE content IS NOT NULL),
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_FORMS = f"""c AS (SELECT seq, nfc_normalize(translate(content, '{_WIDE}', '{_NARROW}')) AS content FROM chunks WHERE content IS NOT NULL),
+f AS (SELECT seq, {_canon("content")} AS plain, string_split(regexp_replace(content, '{_NAMED}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM c),
 g AS (SELECT seq, plain, CASE WHEN len(parts) >= 3 AND {_canon("parts[1]")} = '' THEN array_to_string(list_sort(list_transform(parts[2:], lambda x: {_canon("x")})), '') END AS fields FROM f WHERE plain <> ''),
-k AS (SELECT plain, coalesce(min(fields), plain) AS key FROM g GROUP BY plain), m AS (SELECT seq, key FROM g JOIN k USING (plain))"""
+e AS (SELECT DISTINCT plain, coalesce(fields, plain) AS fields FROM g UNION SELECT plain, plain FROM g WHERE plain IN (SELECT fields FROM g)),
+l1 AS (SELECT plain, min(fields) AS r FROM g WHERE fields IS NOT NULL GROUP BY 1), l2 AS (SELECT fields, min(r) AS r FROM e JOIN l1 USING (plain) GROUP BY 1), l3 AS (SELECT plain, min(r) AS r FROM e JOIN l2 USING (fields) GROUP BY 1),
+l4 AS (SELECT fields, min(r) AS r FROM e JOIN l3 USING (plain) GROUP BY 1), l5 AS (SELECT plain, min(r) AS r FROM e JOIN l4 USING (fields) GROUP BY 1),
+m AS (SELECT seq, coalesce(r, plain) AS key FROM g LEFT JOIN l5 USING (plain))"""
+_LONG = f"""cells AS (
+  SELECT entity_id, seq, llm_model, extracted_at, 'description' AS field_name, CASE WHEN {_VALUE.format("description")} THEN {_squeeze("description")} END AS value, length({_squeeze("description")}) AS complete FROM entities
+  UNION ALL SELECT entity_id, seq, llm_model, extracted_at, 'properties', CAST(to_json(list_sort(list_transform(list_filter(map_entries(properties), lambda x: x.value IS NOT NULL AND {_VALUE.format("x.value")}), lambda x: {{'k': x.key, 'v': {_squeeze("x.value")}}}))) AS VARCHAR),
+    len(list_filter(map_values(properties), lambda x: x IS NOT NULL AND {_VALUE.format("x")})) FROM entities
+  UNION ALL SELECT entity_id, seq, llm_model, extracted_at, 'source_chunk_ids', CAST(to_json(list_sort(list_distinct(list_transform(list_filter(source_chunk_ids, lambda x: x IS NOT NULL AND {_VALUE.format("x")}), lambda x: {_squeeze("x")})))) AS VARCHAR),
+    len(list_distinct(list_transform(list_filter(source_chunk_ids, lambda x: x IS NOT NULL AND {_VALUE.format("x")}), lambda x: {_squeeze("x")}))) FROM entities)"""
 SQL = {
     "p1_found": f"WITH {_FORMS} SELECT first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY key) AS first_seq FROM m) WHERE seq <> first_seq",
     "p1_collapsed": f"WITH {_FORMS} SELECT min(seq) AS first_seq, CAST(count(*) AS BIGINT) AS n_copies FROM m GROUP BY key",
+    "p7_whole": """
+SELECT 'chunk' AS kind, seq, content AS text, true AS "within" FROM chunks WHERE length(content) > 800
+UNION ALL SELECT 'paper', seq, full_text, true FROM papers WHERE length(full_text) > 5000""",
+    "p5_survivors": f"""WITH {_LONG}, today AS (SELECT max(extracted_at) AS today FROM entities WHERE entity_id IS NOT NULL),
+d AS (SELECT cells.*, coalesce(trust, -1) AS t, coalesce(extracted_at, TIMESTAMP '0001-01-01') AS tm, date_diff('day', extracted_at::DATE, today::DATE) AS age FROM cells LEFT JOIN extractors USING (llm_model), today WHERE entity_id IS NOT NULL AND complete > 0 AND value IS NOT NULL),
+v AS (SELECT entity_id, field_name, value, sum(CASE WHEN t > 0 AND age IS NOT NULL THEN t::HUGEINT * (round(pow(2, 40 - (age % 365) / 365.0))::BIGINT >> (age // 365)) ELSE 0 END) AS votes, max({{'c': complete, 't': t, 'm': tm, 's': -seq}}) AS rank FROM d GROUP BY ALL),
+w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY entity_id, field_name ORDER BY votes DESC, rank DESC) = 1)
+SELECT entity_id, max(CASE WHEN field_name = 'description' THEN value END) AS description, max(CASE WHEN field_name = 'properties' THEN value END) AS properties, max(CASE WHEN field_name = 'source_chunk_ids' THEN value END) AS source_chunk_ids
+FROM (SELECT DISTINCT entity_id FROM entities WHERE entity_id IS NOT NULL) LEFT JOIN w USING (entity_id) GROUP BY 1""",
     "p7_found": """
 SELECT 'chunk' AS kind, seq FROM chunks WHERE length(content) > 800
 UNION ALL SELECT 'paper', seq FROM papers WHERE length(full_text) > 5000""",

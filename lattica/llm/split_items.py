@@ -1,13 +1,14 @@
 """Oversized items cut at natural boundaries, range by range.
 
-A long text is never needed whole. It is read in ranges (substrings of a table's column, byte ranges of
-files), each with a halo on both sides. A worker finds the boundaries its range owns: section, paragraph and
+A long text is never needed whole. It is read in ranges (stretches of a table's column, cut in one pass; byte ranges
+of files), each with a halo on both sides. A worker finds the boundaries its range owns: section, paragraph and
 sentence ends, word ends, and, so that a cut is always possible, a place in every stretch of
 limit / 8 characters; of each kind it keeps the last of every such stretch. Every range but an item's first
 also names its seam, the best boundary near its start, where a piece must end. Slim windows over the
 ranges of an item stitch them: prefix sums of lengths place a range in its item, the next range's seam ends
 its last piece, and the last heading before it is carried in. Each range then plans its own pieces, and
-the pieces are emitted by offset. No group larger than one range's table is ever gathered.
+the pieces are emitted by offset from the range they begin in. No group larger than one range's table is ever
+gathered; items of one range need no stitching and skip it.
 
 Pieces hold at most `limit` characters (Unicode code points); a piece starts exactly `overlap` characters before
 the end of the one before, and without these repeats the pieces spell the item. Cuts prefer sections, then
@@ -27,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RANGE_CHARS = 1 << 20
+from lattica.plans.tables import cut
+
+#: Characters of a range, two pieces at least.
+RANGE_CHARS = 1 << 14
 RANGE_BYTES = 32 << 20
 HALO = 256
 SECTION, PARAGRAPH, SENTENCE, WORD, ANY = 4, 3, 2, 1, 0
@@ -37,7 +41,8 @@ SENT = re.compile(r"[.!?][\"'”’)\]]*\s+|[。！？；][”’」）]*\s*")
 SPACE = re.compile(r"\s+")
 
 TABLE = "array<struct<off:int,kind:tinyint,at:int>>"
-RANGES = f"n int, seam int, heads array<struct<off:int,head:string>>, tab {TABLE}"
+RANGES = f"many boolean, n int, seam int, heads array<struct<off:int,head:string>>, tab {TABLE}"
+PIECES = "r int, i int, cut bigint, begin bigint, end bigint, last boolean, many boolean, head string"
 
 
 def detect(text: str, lead: int, own: int, limit: int, first: bool) -> tuple[int | None, list, list]:
@@ -99,14 +104,13 @@ def _detect_rows(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"n": [], "seam": [], "heads": [], "tab": []}
-            for r, own, text in zip(*(batch.column(c).to_pylist() for c in ("r", "own", "part")), strict=True):
-                lead = min(HALO, r * RANGE_CHARS)
+            for r, lead, own, text in zip(*(batch.column(c).to_pylist() for c in ("r", "lead", "own", "part")), strict=True):
                 seam, heads, table = detect(text, lead, own, limit, r == 0)
                 out["n"].append(own)
                 out["seam"].append(seam)
                 out["heads"].append([{"off": o, "head": h} for o, h in heads])
                 out["tab"].append([{"off": o, "kind": k, "at": o} for o, k in table])
-            yield _batch(batch.select(["key", "r"]), out)
+            yield _batch(batch.select(["key", "r", "many"]), out)
 
     return run
 
@@ -137,32 +141,38 @@ def _plan_ranges(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out: dict[str, list] = {c: [] for c in ("src", "i", "base", "cut", "begin", "end", "head")}
+            out: dict[str, list] = {c: [] for c in ("src", "i", "cut", "begin", "end", "last", "head")}
             for k, x in enumerate(rows):
                 start = x["seam"] if x["seam"] is not None else 0
-                stop = x["n"] + x["next_seam"] if x["next_seam"] is not None else x["n"]
+                final = x["next_seam"] is None
+                stop = x["n"] if final else x["n"] + x["next_seam"]
                 table = [(t["off"], t["kind"]) for t in x["tab"]]
                 cut, head, h, heads = start, x["under"], 0, x["heads"]
                 for i, (begin, end) in enumerate(plan(start, stop, x["r"] > 0, table, limit, overlap)):
                     while h < len(heads) and heads[h]["off"] <= cut:
                         head, h = heads[h]["head"], h + 1
-                    for c, v in zip(out, (k, i, x["base"], x["base"] + cut, x["base"] + begin, x["base"] + end, head), strict=True):
+                    for c, v in zip(out, (k, i, x["base"] + cut, x["base"] + begin, x["base"] + end, final and end == stop, head), strict=True):
                         out[c].append(v)
                     cut = end
             if out["src"]:
                 take = pa.array(out["src"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(take), batch.column("r").take(take), pa.array(out["i"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("cut", "begin", "end")), pa.array(out["head"], pa.string())],
-                    names=["key", "r", "i", "cut", "begin", "end", "head"],
+                    [batch.column("key").take(take), batch.column("r").take(take), pa.array(out["i"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("cut", "begin", "end")), pa.array(out["last"], pa.bool_()), batch.column("many").take(take), pa.array(out["head"], pa.string())],
+                    names=["key", "r", "i", "cut", "begin", "end", "last", "many", "head"],
                 )
 
     return run
 
 
 def planned(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(key, r, i, cut, begin, end, head): the pieces of all items as offsets in code points; ordered by (r, i) in an item."""
+    """(key, r, i, cut, begin, end, last, many, head): the pieces of all items as offsets in code points; ordered by (r, i) in an item.
+
+    `ranges` is read more than once and should be written.
+    """
     kind = ranges.schema["key"].dataType.simpleString()
-    return stitched(ranges).mapInArrow(_plan_ranges(limit, overlap), f"key {kind}, r int, i int, cut bigint, begin bigint, end bigint, head string")
+    single = ranges.where("NOT many").select("*", F.lit(0).cast("long").alias("base"), F.lit(None).cast("int").alias("next_seam"), F.lit(None).cast("string").alias("under"))
+    placed = single.unionByName(stitched(ranges.where("many")).withColumn("many", F.lit(True)))
+    return placed.mapInArrow(_plan_ranges(limit, overlap), f"key {kind}, {PIECES}")
 
 
 def _check(limit: int, overlap: int) -> None:
@@ -170,26 +180,69 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError("overlap must be under a quarter of the limit")
 
 
+def _size(limit: int) -> int:
+    return max(RANGE_CHARS, 2 * limit)
+
+
+def ranged(rows: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """(key, r, many, lead, own, part): the text of (key, text) in stretches of `size` characters with halos, cut in one pass."""
+    parts = rows.select("key", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_p"))
+    left = lambda i: F.coalesce(F.right(F.get("_p", i - 1), F.lit(before)), F.lit(""))
+    right = lambda i: F.coalesce(F.left(F.get("_p", i + 1), F.lit(after)), F.lit(""))
+    each = F.transform("_p", lambda x, i: F.struct(i.alias("r"), F.length(left(i)).alias("lead"), F.length(x).alias("own"), F.concat(left(i), x, right(i)).alias("part")))
+    return parts.select("key", (F.size("_p") > 1).alias("many"), F.explode(each).alias("x")).select("key", "x.r", "many", "x.lead", "x.own", "x.part")
+
+
+def _long(df: DataFrame, key: Column, text: str, limit: int, *more: Column) -> DataFrame:
+    return df.select(key.alias("key"), F.col(text).alias("text"), *more).where((F.length("text") > limit) & F.col("key").isNotNull())
+
+
 def offsets(df: DataFrame, key: Column, text: str, limit: int, overlap: int) -> DataFrame:
     """The planned pieces of the rows of a table whose text exceeds the limit."""
     _check(limit, overlap)
-    long = df.select(key.alias("key"), F.col(text).alias("text"), F.length(text).alias("size")).where((F.col("size") > limit) & F.col("key").isNotNull())
-    each = long.select("key", "text", "size", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / RANGE_CHARS).cast("int"))).alias("r"))
-    lead = F.least(F.lit(HALO), F.col("r") * RANGE_CHARS)
-    own = F.least(F.lit(RANGE_CHARS), F.col("size") - F.col("r") * RANGE_CHARS)
-    parts = each.select("key", "r", own.alias("own"), F.substring("text", F.col("r") * RANGE_CHARS - lead + 1, lead + own + HALO).alias("part"))
+    parts = ranged(_long(df, key, text, limit), _size(limit), HALO, HALO)
     kind = parts.schema["key"].dataType.simpleString()
-    return planned(parts.mapInArrow(_detect_rows(limit), f"key {kind}, r int, {RANGES}"), limit, overlap)
+    return planned(cut(parts.mapInArrow(_detect_rows(limit), f"key {kind}, r int, {RANGES}"), "ranges"), limit, overlap)
+
+
+def oversized(pieces: DataFrame) -> DataFrame:
+    """(key): the items that had to be cut, which are those whose first piece is not their last."""
+    return pieces.where("begin = 0 AND NOT last").select("key")
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """`pieces` plus `piece`, counted from 0 in each item; only items of several ranges need a slim window over these."""
+    single = pieces.where("NOT many").withColumn("piece", F.col("i"))
+    counts = pieces.where("many").groupBy("key", "r").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("key").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "r", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("int").alias("before"))
+    more = pieces.where("many").join(before, ["key", "r"]).withColumn("piece", F.col("before") + F.col("i")).drop("before")
+    return single.unionByName(more)
 
 
 def split_rows(df: DataFrame, key: Column, text: str, limit: int, overlap: int, title: Column | None = None) -> DataFrame:
-    """(key, piece, start, content, section_title): the pieces of oversized rows, numbered from 0."""
-    at = offsets(df, key, text, limit, overlap)
-    lists = at.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "head"))).alias("pieces"))
+    """(key, piece, start, content, section_title): the pieces of oversized rows, numbered from 0.
+
+    A piece is cut from the range it begins in, whose halos hold the overlap before and what it takes from the next range.
+    """
+    at = numbered(cut(offsets(df, key, text, limit, overlap), "pieces"))
+    size = _size(limit)
+    parts = ranged(_long(df, key, text, limit), size, overlap, limit)
+    lists = at.groupBy("key", "r").agg(F.collect_list(F.struct("piece", "begin", "end", "head")).alias("pieces"))
+    out = parts.join(lists, ["key", "r"]).select("key", "r", "lead", "part", F.explode("pieces").alias("p"))
+    first = (F.col("p.begin") - F.col("r").cast("long") * size + F.col("lead") + 1).cast("int")
     own = (title if title is not None else F.lit(None).cast("string")).alias("own")
-    rows = df.select(key.alias("key"), F.col(text).alias("text"), own).where(F.length("text") > limit).join(lists, "key")
-    out = rows.select("key", "text", "own", F.posexplode("pieces").alias("piece", "p"))
-    return out.select("key", "piece", F.col("p.begin").alias("start"), F.substring("text", (F.col("p.begin") + 1).cast("int"), (F.col("p.end") - F.col("p.begin")).cast("int")).alias("content"), F.coalesce(F.when(F.trim("own") != "", F.col("own")), "p.head").alias("section_title"))
+    pieces = out.select("key", F.col("p.piece").alias("piece"), F.col("p.begin").alias("start"), F.substring("part", first, (F.col("p.end") - F.col("p.begin")).cast("int")).alias("content"), F.col("p.head").alias("head"))
+    if title is None:
+        return pieces.withColumnRenamed("head", "section_title")
+    titles = _long(df, key, text, limit, own).where(F.trim("own") != "").select("key", "own")
+    return pieces.join(titles, "key", "left").select("key", "piece", "start", "content", F.coalesce("own", "head").alias("section_title"))
+
+
+def joined(pieces: DataFrame, overlap: int) -> DataFrame:
+    """(key, text): the items the pieces of split_rows spell."""
+    inner = F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda p: F.when(p["piece"] == 0, p["content"]).otherwise(F.substring(p["content"], F.lit(overlap + 1), F.length(p["content"]))))
+    return pieces.groupBy("key").agg(F.array_join(inner, "").alias("text"))
 
 
 # Files: the same over byte ranges.
@@ -236,7 +289,7 @@ def _detect_files(limit: int, size: int):
                 out["seam"].append(seam)
                 out["heads"].append([{"off": o, "head": h} for o, h in heads])
                 out["tab"].append(marks)
-            yield _batch(batch.select(["key", "r"]), out)
+            yield _batch(batch.select(["key", "r", "many"]), out)
 
     return run
 
@@ -266,10 +319,8 @@ def split_files(spark: SparkSession, paths: str | list[str], limit: int, overlap
     """
     _check(limit, overlap)
     files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("key"), F.col("length").alias("total")).where(F.col("total") > limit)
-    each = files.select("key", "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / range_bytes).cast("int"))).alias("r"))
+    each = files.select("key", "total", (F.col("total") > range_bytes).alias("many"), F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / range_bytes).cast("int"))).alias("r"))
     ranges = each.repartition("key", "r").mapInArrow(_detect_files(limit, range_bytes), f"key string, r int, {RANGES}")
-    from lattica.plans.tables import cut
-
     ranges = cut(ranges, "ranges")
     at = planned(ranges, limit, overlap)
     # A range's own bytes begin at the first character from r * range_bytes on: shift by what the one before spills over.

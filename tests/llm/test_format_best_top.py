@@ -32,6 +32,26 @@ def test_empty_table(spark):
     assert groups(spark, []) == []
 
 
+def test_joined_by_other_forms(spark):
+    # One canonical form read as two different lists joins the texts that match either.
+    rows = [(1, "Beta: 02; Alpha: 1; Gamma: 3"), (2, "Beta: 02; Alpha: 1 Gamma: 3"), (3, "Alpha: 1 Gamma: 3; Beta: 02"), (4, "Gamma: 3; Beta: 02; Alpha: 1"), (5, "Alpha: 1; Gamma: 4; Beta: 02")]
+    assert groups(spark, [(s, t, "x", 1) for s, t in rows]) == [(1, 1), (1, 2), (1, 3), (1, 4)]
+    reps = format_dups.representatives(spark.createDataFrame(rows, "seq long, content string"), "content", "seq").collect()
+    assert sorted((r.first, r.n_copies) for r in reps) == [(1, 4), (5, 1)]
+
+
+def test_characters_written_in_other_ways(spark):
+    rows = [(1, "Résumé of Ångström"), (2, "Re\u0301sume\u0301 of A\u030angstro\u0308m"), (3, "Ｍｏｄｅｌ：ＡＢＣ１；Ｖａｌｕｅ：３"), (4, "value: 3; model: abc1"), (5, "Resume of Angstrom"), (6, "x² up"), (7, "x2 up"), (8, "각"), (9, "\u1100\u1161\u11a8")]
+    assert groups(spark, [(s, t, "x", 1) for s, t in rows]) == [(1, 1), (1, 2), (3, 3), (3, 4), (8, 8), (8, 9)]
+
+
+def test_hot_groups_join_like_others(spark, monkeypatch):
+    rows = [(i, "hot one" if i % 3 == 0 else f"text {i % 40}", "", 0) for i in range(300)]
+    want = groups(spark, rows)
+    monkeypatch.setattr(format_dups, "HOT_SHARE", 5)  # now only the largest group is hot
+    assert groups(spark, rows) == want and len({a for a, _ in want}) > 20
+
+
 def entity_rows(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [
@@ -54,15 +74,38 @@ def test_best_record_complete(spark):
 def test_best_record_votes_and_pivot(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([("e", 1, "a", t, "common", {}, []), ("e", 2, "a", t, "common", {}, []), ("e", 3, "a", t, "common", {}, []), ("e", 4, "b", t, "a longer one", {}, [])], "entity_id string, seq long, llm_model string, extracted_at timestamp, description string, properties map<string,string>, source_chunk_ids array<string>")
-    out = best_record.survivors(*args(spark, df), rule="votes").collect()
+    out = best_record.survivors(*args(spark, df)).collect()
     assert [(r.entity_id, r.description, r.properties) for r in out] == [("e", "common", None)]
     assert best_record.survivors(*args(spark, df.limit(0))).collect() == []
 
 
+def test_votes_decay_in_whole_numbers(spark):
+    ages = spark.range(0, 3000, 7)
+    got = [int(r[0]) for r in ages.select(best_record.decay(F.col("id"))).collect()]
+    want = [round(2 ** (40 - (a % 365) / 365)) >> (a // 365) for a in range(0, 3000, 7)]
+    assert got == want and got[0] == 1 << 40
+    t = dt.datetime(2024, 1, 1)
+    rows = [("e", 1, "a", dt.datetime(2020, 1, 1), "old", {}, []), ("e", 2, "a", t, "new", {}, []), ("e", 3, "a", None, "older", {}, []), ("e", 4, "a", None, "older", {}, [])]
+    df = spark.createDataFrame(rows, "entity_id string, seq long, llm_model string, extracted_at timestamp, description string, properties map<string,string>, source_chunk_ids array<string>")
+    assert [r.description for r in best_record.survivors(*args(spark, df)).collect()] == ["new"]
+
+
+def test_partition_bounds_prune_and_span_batches(spark):
+    rows = spark.range(40_000, numPartitions=4).selectExpr("IF(id % 2 = 0, 'hot', concat('g', id % 5000)) AS grp", "cast(id % 10 AS double) / 10 AS score", "id AS at", "cast(id AS string) AS name")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        bounds = {r[0]: tuple(r[1]) for r in top_n.bounds(rows, "grp", "score", 5, ["at"]).collect()}
+        got = {(r.name, r.place) for r in top_n.top_n(rows, "grp", "score", 5, [("at", "desc"), ("name", "asc")]).where("grp = 'hot'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hot = sorted(((i % 10 / 10, i) for i in range(0, 40_000, 2)), reverse=True)
+    assert bounds["hot"] == hot[4] and got == {(str(i), k) for k, (_, i) in enumerate(hot[:5], 1)}
+
+
 def test_top_n_matches_window(spark):
     rows = [(f"g{i % 7 if i % 3 else 0}", f"t{i:05d}", float(i % 11) / 10 if i % 13 else None, i % 5, "clash") for i in range(4000)] + [(None, "n", 1.0, 1, ""), ("g1", "nan", float("nan"), 1, "")]
     df = spark.createDataFrame(rows, "grp string, id string, score double, at int, _bound string").drop("_bound").repartition(5)
-    got = {(r.grp, r.id, r.place) for r in top_n.top_n(df, "grp", "score", 5, [F.col("at").desc(), F.col("id").asc()]).collect()}
+    got = {(r.grp, r.id, r.place) for r in top_n.top_n(df, "grp", "score", 5, [("at", "desc"), ("id", "asc")]).collect()}
     want = set()
     groups_ = {}
     for g, i, s, a, _ in rows:
@@ -71,4 +114,4 @@ def test_top_n_matches_window(spark):
     for g, xs in groups_.items():
         want |= {(g, x[2], k) for k, x in enumerate(sorted(xs)[:5], 1)}
     assert got == want
-    assert top_n.top_n(df.limit(0), "grp", "score", 5, [F.col("id")]).collect() == []
+    assert top_n.top_n(df.limit(0), "grp", "score", 5, [("id", "asc")]).collect() == []
