@@ -1,18 +1,22 @@
 """Held-out texts leaking into training text: BM25 index of the items, block-max WAND, alignment.
 
-The items (a fixed, small table, checked and cut into shards) become an inverted index of word
+The items (a fixed, small table, cut into shards of bounded size) become an inverted index of word
 3-sequences with BM25 weights, normalised by each item's own total, so that a score is the weighted share
-of an item that a query repeats; each term keeps its largest weight per block of items. Every
-passage of every document queries the index by block-max WAND for all items above the threshold. Retrieved items are aligned with the whole document: hits that advance
+of an item that a query repeats; each term keeps its largest weight per block of items. Every document
+queries the index with all the sequences it holds, wherever they stand, by block-max WAND for all items above the
+threshold. Retrieved items are aligned with the whole document: hits that advance
 together in both texts form passages, short gaps (altered or inserted words) included; an item has
 leaked if passages of enough words cover at least half of its words.
 
+The index of a shard is built once and broadcast; several shards take one pass over the documents each, whose
+result is written before the next shard is built, so that the driver and the executors hold one shard at a time.
+
 Words are letters and digits in one case, Han characters one by one; case, punctuation, markup and line
 breaks do not matter.
 
 Defined cases: null, empty and blank texts carry nothing; items of fewer than three words are never found;
-equal items are each reported; repeated documents are each reported. Documents of any length are read whole,
-in passages that overlap by one sequence, so that each sequence is counted once. Extra columns are ignored.
+equal items are each reported; repeated documents are each reported. Documents of any length are read whole, and
+each sequence is counted once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.tables import cut
+
 WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 GRAM = 3
-#: Items of one index; more items make more shards and as many passes over the corpus.
-SHARD_ITEMS = 50_000
+#: Items and characters of one index; more make more shards and as many passes over the corpus.
+SHARD_ITEMS, SHARD_CHARS = 50_000, 32 << 20
 BLOCK = 8
-PASSAGE = 1024
 K1, B = 1.2, 0.75
 #: Weighted share of an item that a document must repeat to be aligned with it.
-RETRIEVE = 0.25
-#: An item's half may lie in so many passages of a long document.
-SPREAD = 8
+RETRIEVE = 0.2
 #: A passage may skip this many words in either text, and counts from this many words on.
 GAP, LEAST_WORDS = 5, 8
 SHARE = 0.5
@@ -59,9 +62,10 @@ class Index:
                 self.ids.append(i)
                 self.tokens.append(tokens)
         self.codes = {w: k + 1 for k, w in enumerate(sorted({w for t in self.tokens for w in t}))}
-        if len(self.codes) >= 1 << 21:
-            raise ValueError("too many distinct words in one shard of items")
-        grams = [Counter(self.grams(np.array([self.codes[w] for w in t], np.int64)).tolist()) for t in self.tokens]
+        numbers = [np.array([self.codes[w] for w in t], np.int64) for t in self.tokens]
+        self.pairs = np.unique(np.concatenate([(x[:-1] << 32) | x[1:] for x in numbers])) if numbers else np.empty(0, np.int64)
+        packed = [self.grams(x).tolist() for x in numbers]
+        grams = [Counter(x) for x in packed]
         df = Counter(g for c in grams for g in c)
         n, mean = len(grams), sum(sum(c.values()) for c in grams) / max(1, len(grams))
         self.terms = np.array(sorted(df), np.int64)
@@ -90,17 +94,33 @@ class Index:
         self.block_max = np.array([x for _, x in flat])
         self.most = np.array([max(w) for w in self.weights])
         self.places = [dict() for _ in self.tokens]
-        for i, t in enumerate(self.tokens):
-            for p, g in enumerate(self.grams(np.array([self.codes[w] for w in t], np.int64)).tolist()):
+        for i, own in enumerate(packed):
+            for p, g in enumerate(own):
                 self.places[i].setdefault(number[g], []).append(p)
+        self.own = [np.array(sorted(x), np.int64) for x in self.places]
+        self.sizes_of = [len(t) for t in self.tokens]
+        del self.tokens
 
-    @staticmethod
-    def grams(codes: np.ndarray) -> np.ndarray:
-        """Packed 3-sequences; those with a word no item has are negative."""
-        if len(codes) < GRAM:
-            return np.empty(0, np.int64)
-        a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a << 42) | (b << 21) | c, -1)
+    @classmethod
+    def of(cls, parts: dict) -> Index:
+        """An index from what vars() gave of another."""
+        out = object.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
+    def grams(self, codes: np.ndarray) -> np.ndarray:
+        """3-sequences as (number of the first two words' pair, third word); those with a word or a pair no item has are negative."""
+        out = np.full(max(0, len(codes) - GRAM + 1), -1, np.int64)
+        if not len(out) or not len(self.pairs):
+            return out
+        known = codes > 0
+        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        pair = (codes[at] << 32) | codes[at + 1]
+        slot = np.searchsorted(self.pairs, pair)
+        slot[slot == len(self.pairs)] = 0
+        hit = self.pairs[slot] == pair
+        out[at[hit]] = (slot[hit] << 32) | codes[at[hit] + 2]
+        return out
 
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(positions, term numbers) of the sequences of a text that the index has."""
@@ -164,25 +184,18 @@ class Index:
                 cursors = [c for c in cursors if c[0] < end]
         return out
 
-    def retrieve(self, at: np.ndarray, terms: np.ndarray) -> set[int]:
-        """Items that reach RETRIEVE in a text of one passage, or RETRIEVE / SPREAD at least in one of several."""
-        if self.most[np.unique(terms)].sum() < RETRIEVE and at[-1] < PASSAGE:
-            return set()
-        if at[-1] < PASSAGE:
-            return {i for i, _ in self.wand(np.unique(terms), RETRIEVE)}
-        found: set[int] = set()
-        cuts = np.searchsorted(at, np.arange(PASSAGE, at[-1] + PASSAGE, PASSAGE))
-        parts = [np.unique(p) for p in np.split(terms, cuts) if len(p)]
-        # An item may be spread over passages; the alignment decides on the whole text.
-        least = RETRIEVE / min(len(parts), SPREAD)
-        for p in parts:
-            if self.most[p].sum() >= least:
-                found.update(i for i, _ in self.wand(p, least))
-        return found
+    def retrieve(self, terms: np.ndarray) -> list[int]:
+        """Items of which a text with these sequences repeats RETRIEVE or more, wherever they stand in it."""
+        unique = np.unique(terms)
+        if self.most[unique].sum() < RETRIEVE:
+            return []
+        return [i for i, _ in self.wand(unique, RETRIEVE)]
 
-    def covered(self, item: int, at: list[int], terms: list[int]) -> float:
+    def covered(self, item: int, at: np.ndarray, terms: np.ndarray) -> float:
         """The share of the item's words in passages of the text."""
-        places, n = self.places[item], len(self.tokens[item])
+        places, n = self.places[item], self.sizes_of[item]
+        mine = np.isin(terms, self.own[item])
+        at, terms = at[mine].tolist(), terms[mine].tolist()
         least = min(LEAST_WORDS, math.ceil(n * SHARE))
         live: list[list] = []  # [last text place, last item place, item words]
         mark = bytearray(n)
@@ -193,9 +206,7 @@ class Index:
                     mark[p] = 1
 
         for d, t in zip(at, terms, strict=True):
-            where = places.get(t)
-            if not where:
-                continue
+            where = places[t]
             keep = []
             for c in live:
                 (keep.append if d - c[0] <= GAP + GRAM else close)(c)
@@ -220,21 +231,18 @@ def _find(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for batch in batches:
-            index = index or Index(shipped.value)
+            index = index or Index.of(shipped.value)
             docs, items, shares = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, terms = index.hits(text)
                 if not len(at):
                     continue
-                found = index.retrieve(at, terms)
-                if found:
-                    at, terms = at.tolist(), terms.tolist()
-                    for i in found:
-                        share = index.covered(i, at, terms)
-                        if share >= SHARE:
-                            docs.append(d)
-                            items.append(index.ids[i])
-                            shares.append(share)
+                for i in index.retrieve(terms):
+                    share = index.covered(i, at, terms)
+                    if share >= SHARE:
+                        docs.append(d)
+                        items.append(index.ids[i])
+                        shares.append(share)
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(items, pa.int64()), pa.array(shares)], names=["doc", "item", "share"])
 
@@ -247,11 +255,15 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
     src = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
     fixed = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    shards = max(1, math.ceil(fixed.count() / SHARD_ITEMS))
+    size = fixed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    shards = max(1, math.ceil(size.n / SHARD_ITEMS), math.ceil(size.chars / SHARD_CHARS))
     out = None
     for s in range(shards):
         part = fixed.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s) if shards > 1 else fixed
-        shipped = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
+        shipped = spark.sparkContext.broadcast(vars(Index([(r.i, r.t) for r in part.collect()])))
         found = src.mapInArrow(_find(shipped), f"doc {kind}, item bigint, share double")
+        if shards > 1:
+            found = cut(found, "leaks")
+            shipped.destroy()
         out = found if out is None else out.unionByName(found)
     return out

@@ -12,12 +12,13 @@ Three averaged perceptrons, trained here on pages made from a bounded sample of
 
 How common a word is comes from one count over all texts, of which only unwrapped ones (whose lines do not end
 at a page's width) count as clean. Words and breaks are decided once per distinct form: the forms of wrapped
-texts, joined with the counts of what they might have been. Rows are then marked and rewritten by these
-decisions; forms are broadcast only up to a checked number, beyond it rows are joined with them.
+texts, joined with the counts of what they might have been. Rows are then joined with these decisions, at every
+size in one way: a bit table of bounded size over the decided forms is broadcast, the words it may know leave
+their rows, and an exact join keeps the decided ones.
 
 Defined cases: null, empty and blank texts have no noise and are returned as they are. Texts without noise keep
-their words; wrapped ones are returned as paragraphs. The first and last word of a text may be cut by its
-window and are not judged. Very long texts are read whole. Repeated rows are marked alike. Extra columns are
+their words; wrapped ones are returned as paragraphs. The first and last word of a chunk may be cut by its
+window: they are judged only where they hold a digit, which no cut puts there. Very long texts are read whole. Repeated rows are marked alike. Extra columns are
 ignored. On an empty corpus nothing is learned and nothing is changed.
 """
 
@@ -27,7 +28,9 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +46,10 @@ COMMON_PPM = 20.0
 #: What a form is corrected to has been seen so often in clean text, at least, and so often per million words.
 LEAST_SEEN = 5
 LEAST_PPM = 5.0
-#: More decided forms than this are joined rather than broadcast.
-BROADCAST_FORMS = 1_000_000
+#: Bits of the table of decided forms: so many per form, within these bounds (a power of two each, 8 MB at most).
+BITS_PER_FORM, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
+#: Kinds of rows that a window has cut out of a longer text.
+WINDOWED = ("chunk",)
 
 TOKEN = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"(?<![^\W_])[^\W_]+(?:[-‐][^\W_]+)+")
@@ -525,29 +530,65 @@ def joins(layout: DataFrame, counts: DataFrame, total: float, models: dict) -> D
     return seen.mapInArrow(_decide_breaks(models, total), "l string, m string, r string, join boolean")
 
 
-def _misread(shipped):
+def bit_table(forms: DataFrame) -> np.ndarray:
+    """64-bit words of a table in which the place of every form's CRC-32 is set; its size is bounded whatever the number of forms."""
+    n = forms.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_PER_FORM * n):
+        bits *= 2
+    at = F.crc32(F.encode("form", "utf-8")).bitwiseAND(F.lit(bits - 1))
+    words = forms.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+    set_words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def judged(text: str, windowed: bool, joined: bool = False) -> set[str]:
+    """The words of a text that can be misread ones; with `joined` also what words broken at line ends were."""
+    words = tokens_of(text)
+    if windowed:
+        words = [*words[1:-1], *(w for w in (*words[:1], *words[-1:]) if any(map(str.isdigit, w)))]
+    if joined and HYPHEN_END.search(text):
+        words += [(m[1] + m[4]).lower() for m in BREAK.finditer(text)]
+    return set(words)
+
+
+def _suspects(shipped, joined: bool):
+    """(kind, id, form): the judged words that the bit table may know, each once a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = shipped.value
+        table = shipped.value
+        mask, last = len(table) * 64 - 1, {}
+        bits = table.tobytes()
         for batch in batches:
-            keep = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                if not forms.isdisjoint(tokens_of(text)[1:-1]):
-                    keep.append(k)
-            yield batch.take(pa.array(keep, pa.int64())).select(["kind", "id"])
+            at, forms = [], []
+            for k, (kind, text) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                for w in judged(text, kind in WINDOWED, joined):
+                    known = last.get(w)
+                    if known is None:
+                        if len(last) > 200_000:
+                            last.clear()
+                        place = crc32(w.encode("utf-8", "surrogatepass")) & mask
+                        known = last[w] = bool(bits[place >> 3] >> (place & 7) & 1)
+                    if known:
+                        at.append(k)
+                        forms.append(w)
+            part = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("id"), pa.array(forms, pa.string())], names=["kind", "id", "form"])
 
     return run
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, id, form): the words that _misread judges, each once a text."""
-    for batch in batches:
-        at, forms = [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            own = set(tokens_of(text)[1:-1])
-            at += [k] * len(own)
-            forms += own
-        part = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("id"), pa.array(forms, pa.string())], names=["kind", "id", "form"])
+def _repaired(lines: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, words, kept in zip(*(batch.column(c).to_pylist() for c in ("text", "words", "kept")), strict=True):
+                texts.append(repair_text(text, {w["form"]: w["fixed"] for w in words or ()}, {(b["l"], b["m"], b["r"]) for b in kept or ()}, lines))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.array(texts, pa.string())], names=["kind", "id", "text"])
+
+    return run
 
 
 class Repair:
@@ -577,35 +618,25 @@ class Repair:
         counts = {r.form: float(r.clean) for r in self.counts.join(F.broadcast(wanted), "form").select("form", "clean").collect()} if need else {}
         return train(texts, counts, self.total, seed)
 
+    def misread(self, joined: bool = False) -> DataFrame:
+        """(kind, id, form, fixed): the misread words of each row, and what they stood for; with `joined` also those broken at line ends."""
+        shipped = self.rows.sparkSession.sparkContext.broadcast(bit_table(self.words))
+        return self.rows.mapInArrow(_suspects(shipped, joined), "kind string, id bigint, form string").join(self.words, "form").select("kind", "id", "form", "fixed")
+
     def found(self) -> DataFrame:
         """(kind, id) of the rows with a broken word, a misread character, a running header or a page number."""
         pages = self.layout.where("pages > 0").select("kind", "id")
         joined = self.ends.where("join").select(F.struct("l", "m", "r").alias("b"))
         broken = self.layout.select("kind", "id", F.explode("breaks").alias("b")).join(joined, "b", "left_semi").select("kind", "id")
-        if self.words.count() <= BROADCAST_FORMS:
-            shipped = self.rows.sparkSession.sparkContext.broadcast(frozenset(r.form for r in self.words.select("form").collect()))
-            misread = self.rows.mapInArrow(_misread(shipped), "kind string, id bigint")
-        else:
-            tokens = self.rows.mapInArrow(_judged, "kind string, id bigint, form string")
-            misread = tokens.join(self.words, "form", "left_semi").select("kind", "id")
-        return pages.unionByName(broken).unionByName(misread).distinct()
+        return pages.unionByName(broken).unionByName(self.misread().select("kind", "id")).distinct()
 
     def repaired(self) -> DataFrame:
-        """(kind, id, text): every row as continuous paragraphs. The decisions are broadcast up to BROADCAST_FORMS."""
-        n = max(self.words.count(), self.ends.count())
-        if n > BROADCAST_FORMS:
-            raise ValueError(f"{n} decided forms; repair the corpus in parts")
-        words = {r.form: r.fixed for r in self.words.collect()}
-        split = {(r.l, r.m, r.r) for r in self.ends.where("NOT join").collect()}
-        shipped = self.rows.sparkSession.sparkContext.broadcast((words, split, self.models["lines"]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, s, lines = shipped.value
-            for batch in batches:
-                texts = [repair_text(t, w, s, lines) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.array(texts, pa.string())], names=["kind", "id", "text"])
-
-        return self.rows.mapInArrow(run, "kind string, id bigint, text string")
+        """(kind, id, text): every row as continuous paragraphs, by what was decided of its own words and line ends."""
+        words = self.misread(joined=True).groupBy("kind", "id").agg(F.collect_set(F.struct("form", "fixed")).alias("words"))
+        split = self.ends.where("NOT join").select(F.struct("l", "m", "r").alias("b"))
+        kept = self.layout.select("kind", "id", F.explode("breaks").alias("b")).join(split, "b", "left_semi").groupBy("kind", "id").agg(F.collect_set("b").alias("kept"))
+        rows = self.rows.join(words, ["kind", "id"], "left").join(kept, ["kind", "id"], "left")
+        return rows.select("kind", "id", "text", "words", "kept").mapInArrow(_repaired(self.models["lines"]), "kind string, id bigint, text string")
 
 
 def _like(fixed: str, word: str) -> str:

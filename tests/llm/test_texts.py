@@ -175,15 +175,47 @@ def test_character_editor_held_out():
     assert right > 0.9 * total
 
 
-def test_misread_words_joined_like_broadcast():
-    import pyarrow as pa
-
-    texts = ["noi5e at the edge noi5e", "a model of gra-\ndient noi5e here", "plain", ""]
-    batch = pa.RecordBatch.from_arrays([pa.array(["c"] * 4), pa.array([1, 2, 3, 4], pa.int64()), pa.array(texts)], names=["kind", "id", "text"])
-    rows = [tuple(r.values()) for out in scan_repair._judged(iter([batch])) for r in out.to_pylist()]
-    for form in ("noi5e", "gra", "dient", "model"):
-        class Shipped:
-            value = frozenset([form])
-
-        kept = [r["id"] for out in scan_repair._misread(Shipped)(iter([batch])) for r in out.to_pylist()]
-        assert sorted(i for _, i, f in rows if f == form) == kept
+def test_bit_table_finds_all_forms(spark, monkeypatch):
+    forms = [f"form{i}ä" for i in range(500)]
+    table = scan_repair.bit_table(spark.createDataFrame([(f,) for f in forms], "form string"))
+    assert len(table) * 64 == scan_repair.LEAST_BITS
+    from zlib import crc32
+
+    assert all(int(table[(crc32(f.encode()) & (len(table) * 64 - 1)) >> 6]) >> (crc32(f.encode()) & 63) & 1 for f in forms)
+    # A table too small to tell forms apart gives the same rows, by the join.
+    df = spark.createDataFrame(corpus(), "kind string, id long, text string")
+    monkeypatch.setattr(scan_repair, "LEAST_BITS", 64)
+    monkeypatch.setattr(scan_repair, "MOST_BITS", 64)
+    repair = scan_repair.Repair(df)
+    assert {tuple(r) for r in repair.found().collect()} == {("chunk", 900)}
+    assert "The calibrated encoder narrows the gap between the temporal" in {(r.kind, r.id): r.text for r in repair.repaired().collect()}["chunk", 900]
+
+
+def test_edge_words():
+    text = "noi5e in a model of gra-\ndient edge"
+    assert scan_repair.judged(text, True) == {"noi5e", "in", "a", "model", "of"}
+    assert scan_repair.judged(text, False) == {"noi5e", "in", "a", "model", "of", "edge"}
+    assert "gradient" in scan_repair.judged(text, True, True)
+    assert scan_repair.judged("", True) == scan_repair.judged("one", True) == set()
+
+
+def test_leaks_spread_over_a_long_document(spark, monkeypatch):
+    words = [f"term{i}" for i in range(600)]
+    item = " ".join(words)
+    far = " ".join(" ".join(words[14 * k : 14 * k + 14]) + " filler" * 1500 for k in range(40))
+    d = spark.createDataFrame([(1, far), (2, ITEM), (3, "nothing of it")], "doc_id long, text string")
+    i = spark.createDataFrame([(70, item), (7, ITEM), (8, OTHER)], "item_id long, text string")
+    want = {(1, 70), (2, 7)}
+    assert {(r.doc, r.item) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == want
+    monkeypatch.setattr(leaks, "SHARD_ITEMS", 1)
+    assert {(r.doc, r.item) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == want
+
+
+def test_pieces_spell_the_text_and_name_oversized_items(spark, monkeypatch):
+    monkeypatch.setattr(split_items, "RANGE_CHARS", 2000)
+    texts = {1: "Ein Satz 🙂 mehr. " * 700, 2: "w" * 801, 3: "w" * 800, 4: None, 5: "1. A\n" + "b c. " * 330}
+    df = spark.createDataFrame(list(texts.items()), "seq long, content string").withColumn("key", F.lit("clash"))
+    at = split_items.offsets(df, F.col("seq"), "content", 800, 100)
+    assert sorted(r.key for r in split_items.oversized(at).collect()) == [1, 2, 5]
+    whole = split_items.joined(split_items.split_rows(df, F.col("seq"), "content", 800, 100), 100)
+    assert {r.key: r.text for r in whole.collect()} == {k: texts[k] for k in (1, 2, 5)}
