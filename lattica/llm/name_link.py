@@ -31,10 +31,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import md5
 from math import sqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.components import components
@@ -45,6 +46,8 @@ GRAM = 3
 #: A swap touches q + 1 grams, any other edit at most q.
 DESTROYED = GRAM + 1
 LEAST_LETTERS = 4
+#: Words of so many letters may differ by more than one edit.
+LONG_LETTERS = 7
 
 TITLES = frozenset("dr prof professor doctor mr mrs ms miss sir phd md msc jr sr herr frau dipl ing".split())
 #: Given names and their short forms; the first of a line stands for all.
@@ -249,7 +252,7 @@ def likeness(a: str, b: str, edits: int) -> float:
         return 1.0
     if min(len(a), len(b)) < LEAST_LETTERS:
         return 0.0
-    most = edits if min(len(a), len(b)) >= 7 else 1
+    most = edits if min(len(a), len(b)) >= LONG_LETTERS else 1
     n = near(a, b, most)
     return 0.0 if n > most else 0.95 if n == 1 else 0.85
 
@@ -380,7 +383,7 @@ def _acronym(short: str, words: list[str]) -> bool:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(scope, name, place text) to records; scope 'person' takes people's names."""
+    """(scope, human, name, where) to records; those of scopes marked human take people's names."""
     for batch in batches:
         rec, words, inits, forms, place = [], [], [], [], []
         keep = []
@@ -394,50 +397,105 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inits.append(i)
             forms.append([] if human else glued(name))
             place.append(p)
-            rec.append("\x1f".join((scope, p or "", " ".join(w), " ".join(i), " ".join(forms[-1]))))
+            rec.append(md5("\x1f".join((scope, p or "", " ".join(w), " ".join(i), " ".join(forms[-1]))).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
         if keep:
             part = batch.take(pa.array(keep))
             strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec), pa.array(words, strings), pa.array(inits, strings), pa.array(forms, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "forms", "place"])
+            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec, pa.binary()), pa.array(words, strings), pa.array(inits, strings), pa.array(forms, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "forms", "place"])
 
 
-def _near_words(edits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            yield batch.filter(pa.array([likeness(x, y, edits) > 0 for x, y in zip(a, b, strict=True)], pa.bool_()))
-
-    return run
+def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, edits = (batch.column(c).to_pylist() for c in ("a", "b", "edits"))
+        kept = batch.filter(pa.array([likeness(*x) > 0 for x in zip(a, b, edits, strict=True)], pa.bool_()))
+        a, b = kept.column("a"), kept.column("b")
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([kept.column("scope")] * 2), pa.concat_arrays([a, b]), pa.concat_arrays([b, a])], names=["scope", "a", "b"])
 
 
-def variants(tokens: DataFrame, edits: int = 1) -> DataFrame:
-    """(scope, a, b): words of a scope within so many edits of each other, both ways, without equal ones."""
+def variants(tokens: DataFrame) -> DataFrame:
+    """(scope, a, b): words of a scope within its number of edits (1 or 2) of each other, both ways, without equal ones; `tokens` has scope, token, edits."""
     padded = F.concat(F.lit("^^"), F.col("token"), F.lit("$$"))
     spots = F.transform(F.sequence(F.lit(1), F.length("token") + GRAM - 1), lambda p: F.struct(F.substring(padded, p, F.lit(GRAM)).alias("gram"), p.alias("pos")))
-    grams = tokens.where(F.length("token") >= LEAST_LETTERS).select("scope", "token", F.explode(spots).alias("g")).select("scope", "token", "g.gram", "g.pos")
+    grams = tokens.where(F.length("token") >= LEAST_LETTERS).select("scope", "token", "edits", F.explode(spots).alias("g")).select("scope", "token", "edits", "g.gram", "g.pos")
     spread = grams.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("scope", "token").orderBy("n", "gram", "pos"))
-    prefix = cut(grams.join(spread, ["scope", "gram"]).withColumn("rank", rank).where(F.col("rank") <= DESTROYED * edits + 1).select("scope", "token", "gram", "pos"), "prefix")
+    # A gram that no other word of the scope has can meet nothing, and no word needs more than its rarest.
+    rare = F.array_sort(F.collect_list(F.struct("n", "gram", "pos")))
+    ranked = grams.join(spread, ["scope", "gram"]).groupBy("scope", "token", "edits").agg(rare.alias("gs"))
+    kept = F.filter(F.slice("gs", F.lit(1), F.col("edits") * DESTROYED + 1), lambda g: g["n"] > 1)
+    prefix = cut(ranked.select("scope", "token", "edits", F.explode(kept).alias("g")).select("scope", "token", "edits", "g.gram", "g.pos"), "prefix")
     # An edit moves the grams behind it by one place at most.
-    left = prefix.select("scope", "gram", F.explode(F.array(*(F.col("pos") + d for d in range(-edits, edits + 1)))).alias("pos"), F.col("token").alias("a"))
+    left = prefix.select("scope", "gram", F.explode(F.sequence(F.col("pos") - F.col("edits"), F.col("pos") + F.col("edits"))).alias("pos"), F.col("token").alias("a"), "edits")
     right = prefix.select("scope", "gram", "pos", F.col("token").alias("b"))
-    close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= edits)
-    pairs = left.join(right, ["scope", "gram", "pos"]).where(close).select("scope", "a", "b").distinct()
-    found = pairs.mapInArrow(_near_words(edits), "scope string, a string, b string")
-    return found.unionByName(found.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
+    shorter = F.least(F.length("a"), F.length("b"))
+    # A swap is two of levenshtein's edits.
+    two = (F.col("edits") == 2) & (shorter >= LONG_LETTERS)
+    close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.when(two, 2).otherwise(1)) & F.when(two, F.levenshtein("a", "b", 4) >= 0).otherwise(F.levenshtein("a", "b", 2) >= 0)
+    pairs = left.join(right, ["scope", "gram", "pos"]).where(close).select("scope", "a", "b", "edits").distinct()
+    return pairs.mapInArrow(_near_words, "scope string, a string, b string")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec, token, letter, own): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it."""
+    names = {w: frozenset(y for y in STANDS if y != w and STANDS[w] & STANDS[y]) for w in STANDS}
+    for batch in batches:
+        src, tokens, letters, own = [], [], [], []
+        for k, (words, inits, alts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "alts")), strict=True)):
+            stands = {w: {w} | names.get(w, frozenset()) for w in words}
+            for x in alts or ():
+                stands[x["token"]].add(x["as"])
+            first = {w: {a[0] for a in s} | {f[0] for f in STANDS.get(w, ())} for w, s in stands.items()}
+            for w, s in stands.items():
+                rest = set(inits).union(*(first[y] for y in stands if y != w))
+                if words.count(w) > 1:
+                    rest |= first[w]
+                elif len(words) == 1:
+                    rest.add("")
+                for a in s:
+                    for c in rest:
+                        src.append(k)
+                        tokens.append(a)
+                        letters.append(c)
+                        own.append(a == w)
+        at = pa.array(src, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rec", "scope", "place")), pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], names=["rec", "scope", "place", "token", "letter", "own"])
+
+
+class _Record:
+    """A record as verification reads it, unpacked from its line."""
+
+    __slots__ = ("forms", "inits", "place", "weights", "words")
+
+    def __init__(self, line: str):
+        words, inits, forms, place, tokens, weights = line.split("\x1e")
+        self.words, self.inits, self.forms, self.place = words.split(" "), inits.split(), forms.split(), place
+        self.weights = dict(zip(tokens.split(" "), map(float, weights.split(" ")), strict=True))
+
+
+def _line() -> Column:
+    """words, initials, forms, place, tokens and weights of a record in one string."""
+    return F.concat_ws("\x1e", F.array_join("words", " "), F.array_join("inits", " "), F.array_join("forms", " "), F.coalesce("place", F.lit("")), F.array_join("ws.token", " "), F.array_join(F.transform("ws.weight", lambda w: w.cast("string")), " "))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, _Record] = {}
+
+    def record(line: str) -> _Record:
+        r = known.get(line)
+        if r is None:
+            if len(known) > 50_000:
+                known.clear()
+            r = known[line] = _Record(line)
+        return r
+
     for batch in batches:
         keep = []
-        for x in batch.to_pylist():
-            wa, wb = (dict(zip(x[s]["tok"], x[s]["w"], strict=True)) for s in ("a", "b"))
-            a, b = (x["a"]["words"], x["a"]["inits"]), (x["b"]["words"], x["b"]["inits"])
-            if x["human"]:
-                known = x["a"]["place"] is not None and x["a"]["place"] == x["b"]["place"]
-                score = match_persons(a, b, wa, wb, 2 if known else 1)
+        for human, x, y in zip(*(batch.column(c).to_pylist() for c in ("human", "a", "b")), strict=True):
+            a, b = record(x), record(y)
+            if human:
+                known_place = a.place != "" and a.place == b.place
+                score = match_persons((a.words, a.inits), (b.words, b.inits), a.weights, b.weights, 2 if known_place else 1)
             else:
-                score = match_things((*a, x["a"]["forms"]), (*b, x["b"]["forms"]), wa, wb)
+                score = match_things((a.words, a.inits, a.forms), (b.words, b.inits, b.forms), a.weights, b.weights)
             keep.append(score >= THETA)
         yield batch.filter(pa.array(keep, pa.bool_())).select(["ra", "rb", "pa", "pb"])
 
@@ -446,63 +504,66 @@ def linked(names: DataFrame) -> DataFrame:
     """(scope, id, grp): from rows (scope, human, id, name, where), the group of each id; ids without a usable name are left out."""
     src = names.where(F.col("name").isNotNull() & F.col("id").isNotNull() & F.col("scope").isNotNull())
     spelt = src.select("scope", "human", "name", "where").distinct()
-    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec string, words array<string>, inits array<string>, forms array<string>, place string"), "names")
-    records = parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("scope", "human", "words", "inits", "forms", "place")))
+    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec binary, words array<string>, inits array<string>, forms array<string>, place string"), "names")
+    records = cut(parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("scope", "human", "words", "inits", "forms", "place"))), "records")
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
-    # Forms without gaps are compared like words, so that a typo in one does not part it.
-    spelt_as = tokens.select("scope", "token").unionByName(records.select("scope", F.explode("forms").alias("token"))).distinct()
-    similar = cut(variants(spelt_as), "variants")
-    # Within one place the words are few, so two edits are told from other words.
-    local = records.where(F.col("human") & F.col("place").isNotNull()).select(F.concat_ws("\x1f", "scope", "place").alias("scope"), F.explode(F.array_distinct("words")).alias("token")).distinct()
-    closer = cut(variants(local, 2), "closer")
+    # Forms without gaps are compared like words, so that a typo in one does not part it. Within one place the words
+    # are few, so two edits are told from other words there.
+    wide = tokens.select("scope", "token").unionByName(records.select("scope", F.explode("forms").alias("token"))).distinct().withColumn("edits", F.lit(1))
+    local = records.where(F.col("human") & F.col("place").isNotNull()).select(_at().alias("scope"), F.explode("words").alias("token")).distinct().withColumn("edits", F.lit(2))
+    similar = cut(variants(wide.unionByName(local)), "variants")
+    full = cut(_weighed(records, each, tokens, similar), "weighed")
+    pairs = cut(_candidates(full, similar), "pairs")
+    a, b = (full.select(F.col("rec").alias(f"r{s}"), "human" if s == "a" else F.col("place").alias("pb"), *([F.col("place").alias("pa")] if s == "a" else []), F.col("line").alias(s)) for s in "ab")
+    checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "pa", "pb", "human", "a", "b")
+    links = cut(checked.mapInArrow(_verify, "ra binary, rb binary, pa string, pb string"), "links")
+    return _groups(src, parsed, full, links)
+
+
+def _at() -> Column:
+    """The scope of a place's own words."""
+    return F.concat_ws("\x1f", "scope", "place")
+
+
+def _weighed(records: DataFrame, each: DataFrame, tokens: DataFrame, similar: DataFrame) -> DataFrame:
+    """The records with their words by weight, their heaviest words, and their line for verification."""
+    spark = records.sparkSession
     total = tokens.groupBy("scope").agg(F.sum("df").alias("N"))
     # Short forms count with the names they stand for; the list is fixed and small.
-    kin = names.sparkSession.createDataFrame(sorted({p for w, fulls in STANDS.items() for x in fulls if x != w for p in ((w, x), (x, w))}), "a string, b string")
+    kin = spark.createDataFrame(sorted({p for w, fulls in STANDS.items() for x in fulls if x != w for p in ((w, x), (x, w))}), "a string, b string")
     kin = tokens.select("scope", F.col("token").alias("a")).join(F.broadcast(kin), "a").select("scope", "a", "b")
     around = similar.unionByName(kin).distinct().join(tokens.select("scope", F.col("token").alias("b"), F.col("df").alias("dfb")), ["scope", "b"]).groupBy("scope", F.col("a").alias("token")).agg(F.sum("dfb").alias("more"))
     weight = F.log(1 + F.col("N") / (F.col("df") + F.coalesce("more", F.lit(0))))
     weights = tokens.join(around, ["scope", "token"], "left").join(total, "scope").select("scope", "token", weight.alias("weight"))
-    weighed = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
+    words = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
     heavy = F.transform(F.filter("ws", lambda x: x["weight"] >= F.col("ws")[0]["weight"]), lambda x: x["token"])
-    full = cut(
-        records.join(weighed, "rec").select("rec", "scope", "human", "place", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), F.struct("words", "inits", "forms", "place", F.col("ws.token").alias("tok"), F.col("ws.weight").alias("w")).alias("r")),
-        "records",
-    )
-    # What else a word may stand as: variants and nicknames of the scope, closer variants of the place.
-    stands = names.sparkSession.createDataFrame(sorted({(x, y) for x in STANDS for y in STANDS if x != y and same_given(x, y)}), "token string, as string")
-    people = full.where("human").select("rec", "scope", "place", F.explode("keys").alias("token"))
-    near_by = closer.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as"))
-    wide = similar.select("scope", F.col("a").alias("token"), F.col("b").alias("as"))
-    columns = ["rec", "scope", "place", "token", "as"]
-    others = people.join(wide, ["scope", "token"]).select(*columns).unionByName(people.join(F.broadcast(stands), "token").select(*columns))
-    others = others.unionByName(people.withColumn("at", F.concat_ws("\x1f", "scope", "place")).join(near_by, ["at", "token"]).select(*columns))
-    spread = cut(people.withColumn("as", F.col("token")).unionByName(others).distinct(), "spread")
-    # The letters the rest of a name offers beside each word; "" where there is no other word.
-    full_forms = names.sparkSession.createDataFrame(sorted({(x, f[0]) for x, fulls in STANDS.items() for f in fulls}), "token string, letter string")
-    firsts = spread.select("rec", "token", F.substring("as", 1, 1).alias("letter")).unionByName(spread.select("rec", "token").join(F.broadcast(full_forms), "token").select("rec", "token", "letter")).groupBy("rec", "token").agg(F.collect_set("letter").alias("letters"))
-    rests = firsts.groupBy("rec").agg(F.collect_list(F.struct("token", "letters")).alias("all")).join(full.select("rec", "r.words", "r.inits"), "rec")
-    rest = F.filter("all", lambda y: y["token"] != F.col("x.token"))
-    again = F.size(F.filter("words", lambda w: w == F.col("x.token"))) > 1
-    letters = F.concat(F.flatten(F.transform("rest", lambda y: y["letters"])), F.col("inits"), F.when(again, F.col("x.letters")).when(F.size("words") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-    rests = rests.withColumn("x", F.explode("all")).withColumn("rest", rest).select("rec", F.col("x.token").alias("token"), F.explode(F.array_distinct(letters)).alias("letter"))
-    reach = cut(spread.join(rests, ["rec", "token"]).select("rec", "scope", "place", F.col("as").alias("token"), "letter").distinct(), "reach")
-    offers = cut(people.join(rests, ["rec", "token"]).select("rec", "scope", "place", "token", "letter"), "offers")
-    parts = full.where("NOT human").select("rec", "scope", "heavy", "keys")
-    heads = parts.select("rec", "scope", F.explode("heavy").alias("token"))
-    heads = heads.unionByName(heads.join(wide, ["scope", "token"]).select("rec", "scope", F.col("as").alias("token"))).distinct()
-
-    def meet(left: DataFrame, right: DataFrame, on: list[str], human: bool) -> DataFrame:
-        x, y = left.select(*on, F.col("rec").alias("ra")), right.select(*on, F.col("rec").alias("rb"))
-        return x.join(y, on).where("ra <> rb").select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), F.lit(human).alias("human"))
-
-    known_r, known_o, open_r = reach.where("place IS NOT NULL"), offers.where("place IS NOT NULL"), reach.where("place IS NULL")
-    pairs = meet(known_r, known_o, ["scope", "token", "letter", "place"], True).unionByName(meet(open_r, offers, ["scope", "token", "letter"], True))
-    pairs = cut(pairs.unionByName(meet(heads, parts.select("rec", "scope", F.explode("keys").alias("token")), ["scope", "token"], False)).distinct(), "pairs")
-    a, b = full.select(F.col("rec").alias("ra"), F.col("place").alias("pa"), F.col("r").alias("a")), full.select(F.col("rec").alias("rb"), F.col("place").alias("pb"), F.col("r").alias("b"))
-    checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "pa", "pb", "human", "a", "b")
-    links = cut(checked.mapInArrow(_verify, "ra string, rb string, pa string, pb string"), "links")
-    return _groups(src, parsed, full, links)
+    return records.join(words, "rec").select("rec", "scope", "human", "place", "words", "inits", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), _line().alias("line"))
+
+
+def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
+    """(ra, rb): pairs of records that verification may accept, each once.
+
+    Every record asks with some keys and answers to others; keys are hashed, as verification settles what a collision brings together.
+    """
+    other = similar.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as"))
+    people = full.where("human").select("rec", "scope", "place", "words", "inits")
+    words = people.select("rec", "scope", F.when(F.col("place").isNotNull(), _at()).alias("near"), F.explode(F.array_distinct("words")).alias("token"))
+    spots = words.select("rec", "token", F.explode(F.array_compact(F.array("scope", "near"))).alias("at"))
+    alts = spots.join(other, ["at", "token"]).groupBy("rec").agg(F.collect_set(F.struct("token", "as")).alias("alts"))
+    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, scope string, place string, token string, letter string, own boolean"), "keys")
+    # Persons meet in one place, or anywhere if one's place is unknown.
+    key = lambda place: F.xxhash64("scope", "token", "letter", place)
+    nowhere = F.lit("\x1f")
+    asking = keys.select("rec", key(F.coalesce("place", nowhere)).alias("k"))
+    answering = keys.where("own").select("rec", F.explode(F.array_distinct(F.array(key(F.coalesce("place", nowhere)), key(nowhere)))).alias("k"))
+    things = full.where("NOT human")
+    heads = things.select("rec", "scope", F.explode("heavy").alias("token"))
+    heads = heads.unionByName(heads.join(other.withColumnRenamed("at", "scope"), ["scope", "token"]).select("rec", "scope", F.col("as").alias("token")))
+    asking = asking.unionByName(heads.select("rec", F.xxhash64("scope", "token").alias("k"))).distinct()
+    answering = answering.unionByName(things.select("rec", "scope", F.explode("keys").alias("token")).select("rec", F.xxhash64("scope", "token").alias("k"))).distinct()
+    met = asking.select("k", F.col("rec").alias("ra")).join(answering.select("k", F.col("rec").alias("rb")), "k").where("ra <> rb")
+    return met.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
 
 
 def _groups(src: DataFrame, parsed: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:

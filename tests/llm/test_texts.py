@@ -88,6 +88,27 @@ def test_spam(spark):
     assert spam.spam(df.limit(0), "doc_id", "text", "lang").collect() == []
 
 
+RUSSIAN = "Мы исследуем, как метод обучения влияет на качество поиска в больших коллекциях документов. В работе показано, что предложенная модель улучшает результат на трёх наборах данных. Это объясняется тем, что шум в разметке снижается ещё до обучения. "
+ITALIAN = "Presentiamo un metodo per la ricerca di documenti che riduce il rumore nelle etichette. Il modello è addestrato su tre raccolte di testi e migliora i risultati rispetto alle tecniche precedenti. Non è necessario alcun intervento manuale, e il costo di calcolo resta basso. "
+JAPANESE = "本研究では、文書検索におけるラベル雑音を減らす方法を提案する。三つのデータで実験を行い、従来の手法より良い結果を得た。人手による作業は必要としない。"
+KOREAN = "우리는 문서 검색에서 잡음을 줄이는 방법을 제안한다. 세 가지 자료로 실험하여 기존 방법보다 좋은 결과를 얻었다. 사람의 손은 필요하지 않다. "
+
+
+def test_prose_of_other_languages_and_any_length(spark):
+    pages = [(100 * i + n, t * n, lang) for i, t in enumerate((RUSSIAN, ITALIAN, JAPANESE, KOREAN)) for n in (1, 2, 20) for lang in (None,)]
+    pages += [(900, "скачать реферат бесплатно, купить диплом недорого, скачать диплом, купить реферат, " * 12, None), (901, "tesi online gratis, scrivere tesi online, tesi gratis, comprare tesi online, " * 12, None), (902, "AI paper generator in AI del paper generator AI paper paper ai generator in paper AI. " * 9, "en")]
+    df = spark.createDataFrame(pages, "doc_id long, text string, lang string")
+    shares = {r.id: r.share for r in spam.judged(spam.measured(df, "doc_id", "text", "lang")).collect()}
+    assert {i for i, x in shares.items() if x > 0.3} == {900, 901, 902}
+
+
+def test_repetition_is_judged_against_its_length():
+    usual = [spam.measure(" ".join(f"word{(i * 7) % 61}" for i in range(n)), None)[3][0] for n in (40, 400)]
+    assert usual[0] < 0.2 and usual[1] > 0.9
+    stuffed = spam.measure("cheap essay best essay fast essay cheap best essay")[4][0]
+    assert stuffed[4] == 1.0 and stuffed[6] > 0 and stuffed[2] == 0.0
+
+
 def spells(text, pieces, overlap):
     out = ""
     for k, (start, content) in enumerate(pieces):
