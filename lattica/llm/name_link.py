@@ -33,7 +33,9 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import md5
 from math import sqrt
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,8 @@ GRAM = 3
 #: A swap touches q + 1 grams, any other edit at most q.
 DESTROYED = GRAM + 1
 LEAST_LETTERS = 4
+#: Counters of how frequent grams are.
+COUNTERS = 1 << 16
 #: Words of so many letters may differ by more than one edit.
 LONG_LETTERS = 7
 
@@ -412,50 +416,91 @@ def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([kept.column("scope")] * 2), pa.concat_arrays([a, b]), pa.concat_arrays([b, a])], names=["scope", "a", "b"])
 
 
+def _grams(token: str) -> list[tuple[str, int]]:
+    padded = f"^^{token}$$"
+    return [(padded[i : i + GRAM], i) for i in range(len(token) + GRAM - 1)]
+
+
+def _slot(gram: str) -> int:
+    return crc32(gram.encode("utf-8", "surrogatepass")) % COUNTERS
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        np.add.at(counts, [_slot(g) for token in batch.column("token").to_pylist() for g, _ in _grams(token)], 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _prefix(counts: np.ndarray):
+    """(scope, token, edits, gram, pos): of each word as many of its rarest grams as its edits can destroy, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, grams, places = [], [], []
+            for k, (token, edits) in enumerate(zip(batch.column("token").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
+                ranked = sorted((counts[_slot(g)], g, i) for g, i in _grams(token))[: edits * DESTROYED + 1]
+                for n, g, i in ranked:
+                    if n > 1:  # what is unique meets nothing
+                        src.append(k)
+                        grams.append(g)
+                        places.append(i)
+            at = pa.array(src, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("scope", "token", "edits")), pa.array(grams, pa.string()), pa.array(places, pa.int32())], names=["scope", "token", "edits", "gram", "pos"])
+
+    return run
+
+
 def variants(tokens: DataFrame) -> DataFrame:
-    """(scope, a, b): words of a scope within its number of edits (1 or 2) of each other, both ways, without equal ones; `tokens` has scope, token, edits."""
-    padded = F.concat(F.lit("^^"), F.col("token"), F.lit("$$"))
-    spots = F.transform(F.sequence(F.lit(1), F.length("token") + GRAM - 1), lambda p: F.struct(F.substring(padded, p, F.lit(GRAM)).alias("gram"), p.alias("pos")))
-    grams = tokens.where(F.length("token") >= LEAST_LETTERS).select("scope", "token", "edits", F.explode(spots).alias("g")).select("scope", "token", "edits", "g.gram", "g.pos")
-    spread = grams.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("n"))
-    # A gram that no other word of the scope has can meet nothing, and no word needs more than its rarest.
-    rare = F.array_sort(F.collect_list(F.struct("n", "gram", "pos")))
-    ranked = grams.join(spread, ["scope", "gram"]).groupBy("scope", "token", "edits").agg(rare.alias("gs"))
-    kept = F.filter(F.slice("gs", F.lit(1), F.col("edits") * DESTROYED + 1), lambda g: g["n"] > 1)
-    prefix = cut(ranked.select("scope", "token", "edits", F.explode(kept).alias("g")).select("scope", "token", "edits", "g.gram", "g.pos"), "prefix")
-    # An edit moves the grams behind it by one place at most.
-    left = prefix.select("scope", "gram", F.explode(F.sequence(F.col("pos") - F.col("edits"), F.col("pos") + F.col("edits"))).alias("pos"), F.col("token").alias("a"), "edits")
-    right = prefix.select("scope", "gram", "pos", F.col("token").alias("b"))
+    """(scope, a, b): words of a scope within its number of edits (1 or 2) of each other, both ways, without equal ones; `tokens` has scope, token, edits.
+
+    Grams are ordered by a table of counters of fixed size; any one order makes the prefix filter exact, and a gram that
+    shares its counter only counts as more frequent than it is.
+    """
+    rows = cut(tokens.where(F.length("token") >= LEAST_LETTERS), "words")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in rows.select("token").mapInArrow(_count_grams, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        counts[r["slot"]] = r["n"]
+    found = rows.mapInArrow(_prefix(counts), "scope string, token string, edits int, gram string, pos int")
+    prefix = cut(found.select("scope", "token", "edits", F.xxhash64("scope", "gram").alias("k"), "pos"), "prefix")
+    # An edit moves the grams behind it by one place at most. Hashed keys: what a collision brings together, the distance parts.
+    left = prefix.select("scope", "k", F.explode(F.sequence(F.col("pos") - F.col("edits"), F.col("pos") + F.col("edits"))).alias("pos"), F.col("token").alias("a"), "edits")
+    right = prefix.select("k", "pos", F.col("token").alias("b"))
     shorter = F.least(F.length("a"), F.length("b"))
     # A swap is two of levenshtein's edits.
     two = (F.col("edits") == 2) & (shorter >= LONG_LETTERS)
     close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.when(two, 2).otherwise(1)) & F.when(two, F.levenshtein("a", "b", 4) >= 0).otherwise(F.levenshtein("a", "b", 2) >= 0)
-    pairs = left.join(right, ["scope", "gram", "pos"]).where(close).select("scope", "a", "b", "edits").distinct()
+    pairs = left.join(right, ["k", "pos"]).where(close).select("scope", "a", "b", "edits").distinct()
     return pairs.mapInArrow(_near_words, "scope string, a string, b string")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec, token, letter, own): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it."""
+    """(rec, token, letter, own): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it.
+
+    Short forms of one name meet under the full name they stand for; own are the keys a record answers to.
+    """
     names = {w: frozenset(y for y in STANDS if y != w and STANDS[w] & STANDS[y]) for w in STANDS}
     for batch in batches:
         src, tokens, letters, own = [], [], [], []
         for k, (words, inits, alts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "alts")), strict=True)):
-            stands = {w: {w} | names.get(w, frozenset()) for w in words}
+            stands = {w: {w} for w in words}
             for x in alts or ():
                 stands[x["token"]].add(x["as"])
-            first = {w: {a[0] for a in s} | {f[0] for f in STANDS.get(w, ())} for w, s in stands.items()}
+            first = {w: {a[0] for a in s} | {f[0] for f in STANDS.get(w, ())} | {y[0] for y in names.get(w, ())} for w, s in stands.items()}
             for w, s in stands.items():
                 rest = set(inits).union(*(first[y] for y in stands if y != w))
                 if words.count(w) > 1:
                     rest |= first[w]
                 elif len(words) == 1:
                     rest.add("")
-                for a in s:
+                fulls = [f"={f}" for f in STANDS.get(w, ())]
+                for a in (*s, *fulls):
                     for c in rest:
                         src.append(k)
                         tokens.append(a)
                         letters.append(c)
-                        own.append(a == w)
+                        own.append(a == w or a in fulls)
         at = pa.array(src, pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rec", "scope", "place")), pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], names=["rec", "scope", "place", "token", "letter", "own"])
 
@@ -560,8 +605,8 @@ def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
     things = full.where("NOT human")
     heads = things.select("rec", "scope", F.explode("heavy").alias("token"))
     heads = heads.unionByName(heads.join(other.withColumnRenamed("at", "scope"), ["scope", "token"]).select("rec", "scope", F.col("as").alias("token")))
-    asking = asking.unionByName(heads.select("rec", F.xxhash64("scope", "token").alias("k"))).distinct()
-    answering = answering.unionByName(things.select("rec", "scope", F.explode("keys").alias("token")).select("rec", F.xxhash64("scope", "token").alias("k"))).distinct()
+    asking = asking.unionByName(heads.select("rec", F.xxhash64("scope", "token").alias("k")))
+    answering = answering.unionByName(things.select("rec", "scope", F.explode("keys").alias("token")).select("rec", F.xxhash64("scope", "token").alias("k")))
     met = asking.select("k", F.col("rec").alias("ra")).join(answering.select("k", F.col("rec").alias("rb")), "k").where("ra <> rb")
     return met.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
 
@@ -571,20 +616,21 @@ def _groups(src: DataFrame, parsed: DataFrame, full: DataFrame, links: DataFrame
     # Things have no place: for them every record is of unknown place and all links hold.
     firm = links.where("pa IS NOT NULL AND pb IS NOT NULL").select("ra", "rb")
     loose = links.where("pa IS NULL OR pb IS NULL").select(F.when(F.col("pa").isNull(), F.col("ra")).otherwise(F.col("rb")).alias("open"), F.when(F.col("pa").isNull(), F.col("rb")).otherwise(F.col("ra")).alias("to"), "pa", "pb")
-    placed = full.where("place IS NOT NULL").select(F.col("rec").alias("ra"), F.col("rec").alias("rb"))
-    groups = cut(components(firm.unionByName(placed)), "groups")
-    attach = loose.where("pa IS NOT NULL OR pb IS NOT NULL").join(groups.withColumnRenamed("node", "to"), "to").groupBy("open").agg(F.min("component").alias("grp"), F.max("component").alias("other"))
+    # Records of unknown place that match no place are linked among themselves.
+    torn = loose.where("pa IS NOT NULL OR pb IS NOT NULL").select("open", "to").distinct()
+    free = full.where("place IS NULL").select("rec").join(torn.select(F.col("open").alias("rec")), "rec", "left_anti")
+    among = loose.where("pa IS NULL AND pb IS NULL").select(F.col("open").alias("ra"), F.col("to").alias("rb"))
+    among = among.join(free.withColumnRenamed("rec", "ra"), "ra", "left_semi").join(free.withColumnRenamed("rec", "rb"), "rb", "left_semi")
+    single = full.where("place IS NOT NULL").select("rec").unionByName(free).select(F.col("rec").alias("ra"), F.col("rec").alias("rb"))
+    groups = cut(components(firm.unionByName(among).unionByName(single)), "groups")
+    attach = torn.join(groups.withColumnRenamed("node", "to"), "to").groupBy("open").agg(F.min("component").alias("grp"), F.max("component").alias("other"))
     one = attach.where(F.col("grp") == F.col("other")).select(F.col("open").alias("rec"), "grp")
-    # Records of unknown place that match no place: linked among themselves, and to what they match that is settled.
-    torn = attach.select(F.col("open").alias("rec"))
-    free = full.where("place IS NULL").select("rec").join(torn, "rec", "left_anti")
-    among = loose.where("pa IS NULL AND pb IS NULL").select(F.col("open").alias("x"), F.col("to").alias("y"))
-    among = among.join(free.withColumnRenamed("rec", "x"), "x", "left_semi").join(free.withColumnRenamed("rec", "y"), "y", "left_semi")
-    own = components(among.unionByName(free.select(F.col("rec").alias("x"), F.col("rec").alias("y")))).select(F.col("node").alias("rec"), F.col("component").alias("grp"))
     alone = attach.where(F.col("grp") != F.col("other")).select(F.col("open").alias("rec"), F.col("open").alias("grp"))
-    of_record = groups.select(F.col("node").alias("rec"), F.col("component").alias("grp")).unionByName(one).unionByName(own).unionByName(alone)
-    where = src.select("scope", "id", "name", "where").distinct()
-    ids = where.join(parsed.select("scope", "name", "where", "rec"), (where["scope"] == parsed["scope"]) & (where["name"] == parsed["name"]) & where["where"].eqNullSafe(parsed["where"])).select(where["scope"], where["id"], "rec")
+    of_record = groups.select(F.col("node").alias("rec"), F.col("component").alias("grp")).unionByName(one).unionByName(alone)
+    spelt = src.select("scope", "id", "name", "where").distinct()
+    # A null place joins as the empty one, which no place is parsed from either.
+    by = ["scope", "name", "_where"]
+    ids = spelt.withColumn("_where", F.coalesce("where", F.lit(""))).join(parsed.select("scope", "name", F.coalesce("where", F.lit("")).alias("_where"), "rec"), by).select("scope", "id", "rec").distinct()
     return ids.join(of_record, "rec").select("scope", "id", "grp").distinct()
 
 
