@@ -97,14 +97,19 @@ def subgraph_expand(spark, root):
     return graph.ego(links(spark, root, "relation_type", nodes=v), seeds, 2)[1]
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_HUB_SQL}, reach(node, d) AS (SELECT seed, 0 FROM hub UNION SELECT e.target_entity_id, r.d + 1 FROM reach r JOIN edges e ON e.source_entity_id = r.node WHERE r.d < 6)
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_HUB_SQL}, reach(node, d) AS (SELECT seed, 0 FROM hub UNION SELECT e.target_entity_id, r.d + 1 FROM reach r JOIN edges e ON e.source_entity_id = r.node WHERE r.d < 60)
 SELECT node, min(d) AS depth FROM reach GROUP BY 1""")
 def path_lengths(spark, root):
+    """Everything the hub reaches; the SQL's bound on steps is far above the longest of them."""
     e = links(spark, root, "relation_type")
-    return graph.distances(e, _hub(e).first().seed or "", 6)
+    return graph.distances(e, _hub(e).first().seed or "")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_HUB_SQL}, reach(node, d) AS (SELECT seed, 0 FROM hub UNION SELECT e.target_entity_id, r.d + 1 FROM reach r JOIN edges e ON e.source_entity_id = r.node WHERE r.d < 60),
+dist AS (SELECT node, min(d) AS depth FROM reach GROUP BY 1),
+par AS (SELECT t.node, min(s.node) AS parent FROM dist t JOIN edges e ON e.target_entity_id = t.node JOIN dist s ON s.node = e.source_entity_id AND s.depth = t.depth - 1 GROUP BY 1),
+back(node, depth) AS (SELECT * FROM (SELECT node, depth FROM dist ORDER BY depth DESC, node DESC LIMIT 1) UNION ALL SELECT p.parent, b.depth - 1 FROM back b JOIN par p ON p.node = b.node WHERE b.depth > 0)
+SELECT depth AS step, node AS entity_id FROM back""")
 def shortest_path(spark, root):
     """A path from the hub to the farthest entity (smallest id of those)."""
     e = links(spark, root, "relation_type")

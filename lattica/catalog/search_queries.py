@@ -282,32 +282,103 @@ def communities(spark, root):
     return community.detect(v, links(spark, root, "relation_type", nodes=v))
 
 
-@query()
+_MADE_REPORTS = """cm AS (SELECT community_id, count(*) AS size, list(entity_id ORDER BY entity_id) AS ids, list(split_part(name, ': ', 1) ORDER BY entity_id) FILTER (name IS NOT NULL) AS names FROM nodes WHERE community_id >= 0 GROUP BY 1 HAVING count(*) >= 3),
+cr AS (SELECT a.community_id, list(split_part(coalesce(source_entity_name, '') || ' --[' || relation_type || ']--> ' || coalesce(target_entity_name, '') || CASE WHEN coalesce(e.description, '') <> '' THEN ' (' || e.description || ')' ELSE '' END, chr(10), 1) ORDER BY e.seq) AS found
+  FROM edges e JOIN nodes a ON a.entity_id = source_entity_id JOIN nodes b ON b.entity_id = target_entity_id WHERE a.community_id = b.community_id AND a.community_id >= 0 GROUP BY 1),
+made_reports AS (SELECT community_id, array_to_string(names[1:3], '; ') AS title, len(names) || ' entities, ' || coalesce(len(found), 0) || ' relations' AS summary, coalesce(found[1:3], []) AS key_findings, ids AS entity_ids, size FROM cm LEFT JOIN cr USING (community_id))"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_MADE_REPORTS} SELECT community_id, title, summary, array_to_string(key_findings, '|') AS findings, CAST(size AS INTEGER) AS size, 0 AS level FROM made_reports")
 def community_reports(spark, root):
-    v = vertices(spark, root)
-    e = links(spark, root, "description", "source_entity_name", "target_entity_name", nodes=v).na.fill("", ["source_entity_name", "target_entity_name"])
-    return community.reports(community.texts(v, e, community.detect(v, e)))
+    """Reports of the stored communities by the offline generator."""
+    return _engine(spark, root).reports().select("community_id", "title", "summary", F.array_join("key_findings", "|").alias("findings"), "size", "level")
 
 
 # Answers
 
 
-def _answers(spark, root, mode, asked):
+def _engine(spark, root):
     from lattica.engine import Engine
+    from lattica.operators.calls import Policy
 
-    engine = Engine(spark, *(table(spark, root, t) for t in ("papers", "chunks", "entities", "triples")))
-    out = None
-    for i, question in asked:
-        a = engine.ask(question, mode=mode).withColumn("question_id", F.lit(i))
-        out = a if out is None else out.unionByName(a)
-    return out
+    return Engine(spark, *(table(spark, root, t) for t in ("papers", "chunks", "entities", "triples")), policy=Policy(concurrent=8))
 
 
-@query()
+_REACHED = """seeds AS (SELECT DISTINCT entity_id AS seed FROM matched), reach(seed, node, d) AS (SELECT seed, seed, 0 FROM seeds UNION SELECT r.seed, e.target_entity_id, r.d + 1 FROM reach r JOIN edges e ON e.source_entity_id = r.node WHERE r.d < 2),
+ego AS (SELECT DISTINCT seed, node FROM reach),
+qe AS (SELECT question_id, count(DISTINCT node) AS n FROM matched JOIN ego ON seed = entity_id GROUP BY 1),
+qt AS (SELECT question_id, count(DISTINCT (source_entity_id, target_entity_id)) AS n FROM matched JOIN ego a ON a.seed = entity_id JOIN edges ON source_entity_id = a.node JOIN ego b ON b.seed = a.seed AND b.node = target_entity_id GROUP BY 1)"""
+
+
+def _answer_sql(mode: str) -> str:
+    return f"""WITH RECURSIVE {GRAPH_SQL}, {_Q}, {_KEYED}, {_MATCHED}, {_REACHED}
+SELECT question_id, '{mode}/' || question_type AS question_type, CAST(coalesce(qe.n, 0) AS INTEGER) AS n_entities, CAST(coalesce(qt.n, 0) AS INTEGER) AS n_triples, 3 AS n_chunks, true AS answered FROM keyed LEFT JOIN qe USING (question_id) LEFT JOIN qt USING (question_id)"""
+
+
+def _answers(spark, root, mode):
+    rows = _engine(spark, root).ask_many(_questions(spark), mode)
+    return rows.select("question_id", "question_type", "n_entities", "n_triples", "n_chunks", (F.coalesce("answer", F.lit("")) != "").alias("answered"))
+
+
+@query(_answer_sql("local"))
 def answer_local(spark, root):
-    return _answers(spark, root, "local", QUESTIONS[:2]).select("question_id", "question_type", "answer", "n_entities", "n_triples", "n_chunks")
+    """All questions answered from the graph and the chunks, by the offline generator."""
+    return _answers(spark, root, "local")
 
 
-@query()
+@query(_answer_sql("hybrid"))
+def answer_hybrid(spark, root):
+    """The same, with the themes of the largest communities."""
+    return _answers(spark, root, "hybrid")
+
+
+_THEMED = f"""WITH {GRAPH_SQL}, {_Q}, {_KEYED}, {_MADE_REPORTS}, tx AS (SELECT *, lower(concat_ws(' ', title, summary, array_to_string(key_findings, ' '), array_to_string(entity_ids, ' '))) AS text FROM made_reports),
+s AS (SELECT question_id, tx.*, len(kws) > 0 AS asked, CASE WHEN len(kws) > 0 THEN len(list_filter(kws, lambda w: contains(text, lower(w)))) ELSE 1 END AS score FROM keyed, tx),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, community_id) AS place, max(score) OVER (PARTITION BY question_id) AS top FROM s),
+picked AS (SELECT *, '### Theme ' || place || ': ' || title || chr(10) || summary || chr(10) || 'Key findings:' || chr(10) || array_to_string(list_transform(key_findings, lambda f: '    · ' || f), chr(10)) AS block FROM r WHERE CASE WHEN NOT asked THEN place <= 5 WHEN top > 0 THEN score > 0 AND place <= 5 ELSE place <= 3 END),
+themed AS (SELECT question_id, 'Themes:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Answer from these themes: ' || any_value(question) AS prompt, CAST(sum(len(entity_ids)) AS INTEGER) AS n_entities FROM picked JOIN questions USING (question_id) GROUP BY 1)"""
+
+
+@query(f"{_THEMED} SELECT question_id, prompt, coalesce(n_entities, 0) AS n_entities FROM questions LEFT JOIN themed USING (question_id)")
+def global_prompts(spark, root):
+    """What a generator is asked for answers from themes."""
+    return _engine(spark, root).prepare(_questions(spark), "global")["prompts"].select("question_id", "prompt", "n_entities")
+
+
+@query(f"{_THEMED} SELECT question_id, 'global' AS question_type, coalesce(n_entities, 0) AS n_entities, 0 AS n_triples, 0 AS n_chunks, true AS answered FROM questions LEFT JOIN themed USING (question_id)")
 def answer_global(spark, root):
-    return _answers(spark, root, "global", QUESTIONS[2:4]).select("question_id", "question_type", "answer", "n_entities", "n_triples", "n_chunks")
+    return _answers(spark, root, "global")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_Q}, {_KEYED}, {_MATCHED}, {_REACHED}, found AS (SELECT DISTINCT question_id, node AS entity_id FROM matched JOIN ego ON seed = entity_id WHERE question_id <= 2),
+r AS (SELECT question_id, '[' || entity_type || '] ' || coalesce(name, '') AS line, row_number() OVER (PARTITION BY question_id ORDER BY seq) AS place, count(*) OVER (PARTITION BY question_id) AS n FROM found JOIN nodes USING (entity_id))
+SELECT question_id, CAST(place AS INTEGER) AS place, line, CAST(greatest(n - 5, 0) AS INTEGER) AS rest FROM r WHERE place <= 5""")
+def conversation_sources(spark, root):
+    """The first five entities behind the answers of a conversation of two questions, a blank one and a farewell."""
+    said = spark.createDataFrame([*QUESTIONS[:2], (3, "  "), (4, "Quit"), (5, "never asked")], "question_id int, question string")
+    return _engine(spark, root).converse(said)[1].where("kind = 'entity'").select("question_id", "place", "line", "rest")
+
+
+@query(f"""WITH {GRAPH_SQL}, t AS (SELECT string_agg(entity_type || ': ' || n, ', ' ORDER BY entity_type || ': ' || n) AS t FROM (SELECT entity_type, count(*) AS n FROM nodes WHERE entity_type IS NOT NULL GROUP BY 1))
+SELECT '实体: ' || (SELECT count(*) FROM nodes) || chr(10) || '关系: ' || (SELECT count(*) FROM edges) || chr(10) || '类型分布: ' || t AS text FROM t""")
+def statistics_answer(spark, root):
+    """The answer to a question for the graph's statistics."""
+    from lattica.operators import answer
+
+    v = vertices(spark, root, "entity_type")
+    return answer.statistics_text(v, links(spark, root, "relation_type", nodes=v))
+
+
+@query(f"""WITH {_Q} SELECT question_id, CASE WHEN question_id = 2 THEN 'RAG|limitation' ELSE array_to_string(list_sort(list_distinct(CASE WHEN question_id = 1 THEN ['Novel method', 'method', 'approach', 'algorithm', 'model', 'technique'] ELSE ['x'] END)), '|') END AS keywords, CASE WHEN question_id = 1 THEN 'method' ELSE 'general' END AS question_type FROM questions WHERE question_id <> 2
+UNION ALL (WITH {_Q}, {_KEYED} SELECT question_id, array_to_string(kws, '|'), question_type FROM keyed WHERE question_id = 2)""")
+def keywords_by_generator(spark, root):
+    """Keywords from a generator's answers, expanded; the rule's where an answer does not read."""
+    from lattica.operators.calls import Policy
+
+    def generator(prompt: str) -> str:
+        if "What method" in prompt:
+            return 'Sure: {"keywords": ["Novel method"], "question_type": "method"}'
+        return "{broken" if "limitations" in prompt else '{"keywords": ["x"]}'
+
+    asked = retrieve.analysed(_questions(spark), generator, Policy(concurrent=2))
+    return asked.select("question_id", F.array_join("keywords", "|").alias("keywords"), "question_type")

@@ -142,7 +142,8 @@ _CHUNKS1 = "c1 AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_n
 @query(f"WITH {_CHUNKS1} SELECT chunk_id, paper_id, seq, extraction_status FROM c1")
 def vector_upsert(spark, root):
     c = table(spark, root, "chunks", "seq", "chunk_id", "paper_id", "extraction_status")
-    return incremental.upsert(c.limit(0), c, "chunk_id").select("chunk_id", "paper_id", "seq", "extraction_status")
+    # Finished chunks are stored; all chunks, these included, are written over them.
+    return incremental.upsert(c.where("extraction_status = 'success'"), c, "chunk_id").select("chunk_id", "paper_id", "seq", "extraction_status")
 
 
 @query(f"WITH {_CHUNKS1} SELECT paper_id, chunk_index, chunk_id, left(translate(content, chr(10) || chr(13), '  '), 120) AS preview, extraction_status FROM c1")

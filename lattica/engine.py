@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.constants import KG_HOPS, TOP_K_CHUNKS
-from lattica.operators import chunking, community, graph, incremental, retrieve, structure, vectors
-from lattica.operators.community import Generator
+from lattica.constants import TOP_K_CHUNKS
+from lattica.operators import answer, chunking, community, extract, graph, incremental, resolve, retrieve, structure, vectors
+from lattica.operators.calls import Generator, Policy
 from lattica.plans.tables import cut
 
 
 def extractive(prompt: str) -> str:
-    """Offline generator: the first lines of what was retrieved."""
-    lines = [x.strip("# ") for x in prompt.split("\n") if x.strip() and not x.startswith(("## ", "="))]
-    return " ".join(lines[:3])[:600]
+    """Offline generator: the first lines of what was retrieved, as the JSON answer a prompt asks for."""
+    lines = [x.strip("# ") for x in prompt.split("\n")[1:] if x.strip() and not x.startswith(("## ", "=", "Question"))]
+    text = " ".join(lines[:3])[:600]
+    return json.dumps({"answer": {"summary": text, "details": [], "missing_papers": []} if prompt.startswith("Context from several") else text}, ensure_ascii=False)
 
 
 class Engine:
     """Holds the tables as frames; every method returns frames and changes nothing it was given."""
 
-    def __init__(self, spark: SparkSession, papers: DataFrame, chunks: DataFrame, entities: DataFrame, triples: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None):
+    def __init__(self, spark: SparkSession, papers: DataFrame, chunks: DataFrame, entities: DataFrame, triples: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None, keyword_generator: Generator | None = None, report_generator: Generator | None = None, policy: Policy = Policy()):
         self.spark, self.papers, self.chunks = spark, papers, chunks
+        self.keyword_generator, self.report_generator, self.policy = keyword_generator, report_generator, policy
+        self._reports = self._embedded = None
         # Written once: every method reads these two, most of them several times.
         self.vertices = cut(graph.nodes(entities), "vertices")
         self.links = cut(graph.edges(triples, self.vertices), "links")
@@ -81,8 +85,34 @@ class Engine:
         out = object.__new__(Engine)
         out.__dict__.update(self.__dict__)
         out.vertices, out.links = vertices, links
+        out._reports = out._embedded = None
         return out
 
+    def add(self, entities: DataFrame, triples: DataFrame, aliases: DataFrame | None = None) -> tuple[Engine, dict[str, DataFrame]]:
+        """(engine, records): the graph with a batch of entities and triples, entities resolved against it first, triples last.
+
+        An entity that is known by name, alias or vector adds what it knows to the known one; a likely one waits in the review queue
+        and enters as new. Triples whose ends are not in the graph afterwards are left out. `records` holds resolved, aliases and reviews.
+        """
+        none = self.spark.createDataFrame([], "alias_text string, canonical_entity_id string, entity_type string")
+        aliases = none if aliases is None else aliases
+        new = cut(graph.nodes(entities), "new")
+        embed = lambda df: vectors.embed_distinct(df.where("name IS NOT NULL").select("entity_id", "entity_type", "name", "seq"), "name", self.embedder)
+        old = cut(embed(self.vertices), "old")
+        done = cut(resolve.resolve(embed(new), old, aliases), "resolved")
+        moved = cut(done.where(F.col("how").isin("exact", "alias", "embedding") & (F.col("entity_id") != F.col("match_id"))).select("entity_id", F.col("match_id").alias("primary_id")), "moved")
+        both = self.vertices.unionByName(new, allowMissingColumns=True)
+        target = F.coalesce("primary_id", "entity_id")
+        vertices = cut(graph.merged_nodes(both.join(moved, "entity_id", "left").withColumn("entity_id", target).drop("primary_id"), self.vertices.select("entity_id")), "vertices")
+        fresh = triples
+        for end in ("source_entity_id", "target_entity_id"):
+            fresh = fresh.join(moved.withColumnRenamed("entity_id", end), end, "left").withColumn(end, F.coalesce("primary_id", end)).drop("primary_id")
+        # New triples are written after the stored ones.
+        shift = F.lit(self.links.agg(F.max("seq")).first()[0] or 0)
+        links = cut(graph.edges(self.links.unionByName(fresh.withColumn("seq", F.col("seq") + shift + 1), allowMissingColumns=True), vertices), "links")
+        records = {"resolved": done, "aliases": resolve.new_aliases(done, new, aliases), "reviews": resolve.review_rows(done, new, self.vertices)}
+        return self._with(vertices, links), records
+
     def ingest(self, papers: DataFrame) -> DataFrame:
         """(seq, chunk_index, ..., reused): the chunks of new papers (seq, paper_id, full_text), and whether their hash is stored already."""
         body, refs = structure.split_references(F.col("full_text"))
@@ -94,50 +124,76 @@ class Engine:
 
     # Asking
 
-    def retrieve(self, question: str, paper_ids: list[str] | None = None, k: int = TOP_K_CHUNKS) -> dict:
-        """Type, keywords, entities, triples and chunks for a question, the frames written once."""
-        asked = self.spark.createDataFrame([(1, question)], "question_id int, question string")
-        kind = retrieve.question_type(F.col("question"))[0]
-        asked = asked.select("question_id", kind.alias("question_type"), retrieve.keywords(F.col("question")).alias("keywords"))
-        row = asked.first()
-        seeds = retrieve.match_entities(asked, self.vertices).select(F.col("entity_id").alias("seed"))
-        reached, inside = graph.ego(self.links, cut(seeds, "seeds"), KG_HOPS)
-        entities = self.vertices.join(reached.select(F.col("node").alias("entity_id")).distinct(), "entity_id", "left_semi")
-        triples = self.links.join(inside.select("source_entity_id", "target_entity_id").distinct(), ["source_entity_id", "target_entity_id"], "left_semi")
-        chunks = self.chunks.where("content IS NOT NULL AND chunk_id IS NOT NULL")
+    def reports(self) -> DataFrame:
+        """The reports of the communities, made once and kept."""
+        if self._reports is None:
+            known = self.vertices.where("community_id >= 0").select("entity_id", "community_id") if "community_id" in self.vertices.columns else self.communities()
+            texts = community.texts(self.vertices, self.links.na.fill("", ["source_entity_name", "target_entity_name"]), known)
+            self._reports = cut(community.reports(texts, generator=self.report_generator, policy=self.policy), "reports")
+        return self._reports
+
+    def embedded(self) -> DataFrame:
+        """The last version of every chunk with its paper's title and its vector; equal contents are embedded once, and all only once."""
+        if self._embedded is None:
+            last = graph.latest(self.chunks.where("content IS NOT NULL AND chunk_id IS NOT NULL").select("seq", "chunk_id", "paper_id", "section_title", "content"), "chunk_id")
+            titles = graph.latest(self.papers.where("paper_id IS NOT NULL").select("paper_id", "seq", "title"), "paper_id").select("paper_id", "title") if "title" in self.papers.columns else None
+            last = last.join(titles, "paper_id", "left") if titles is not None else last.withColumn("title", F.lit(None).cast("string"))
+            self._embedded = cut(vectors.embed_distinct(last, "content", self.embedder), "embedded")
+        return self._embedded
+
+    def prepare(self, questions: DataFrame, mode: str = "local", paper_ids: list[str] | None = None, k: int = TOP_K_CHUNKS) -> dict:
+        """What answers to a stated set of questions (question_id, question) rest on: asked, prompts, and, but for global mode, entities, triples and hits."""
+        asked = cut(retrieve.analysed(questions, self.keyword_generator, self.policy), "asked")
+        if mode == "global":
+            prompts = answer.theme_prompts(asked, self.reports()).withColumn("crosses", F.lit(False))
+            return {"asked": asked, "prompts": cut(prompts, "prompts")}
+        entities, triples = answer.subgraph(asked, self.vertices, self.links, paper_ids)
+        chunks = self.embedded()
         if paper_ids:
-            entities, triples = retrieve.within_papers(entities, triples, paper_ids)
             chunks = chunks.where(F.lower("paper_id").isin([p.lower().strip() for p in paper_ids]))
-        vector = self.embedder([question])[0]
-        q = F.array(*(F.lit(float(x)) for x in vector))
-        hits = vectors.top_k(vectors.embed(graph.latest(chunks.select("seq", "chunk_id", "paper_id", "section_title", "content"), "chunk_id"), "content", self.embedder), q, "chunk_id", k)
-        return {"question_type": row.question_type, "keywords": row.keywords, "entities": cut(entities, "entities"), "triples": cut(triples, "triples"), "chunks": cut(hits.drop("embedding"), "chunks")}
-
-    def ask(self, question: str, mode: str = "local", paper_ids: list[str] | None = None) -> DataFrame:
-        """One row: the answer with its type, sources and counts. Modes: local, global, hybrid."""
+        # A stated question set: its vectors are made here, in one batch.
+        rows = questions.select("question_id", "question").collect()
+        made = self.embedder([r.question or "" for r in rows]) if rows else []
+        vectors_of = self.spark.createDataFrame([(r.question_id, [float(x) for x in v]) for r, v in zip(rows, made, strict=True)], "question_id int, vector array<double>")
+        hits = cut(answer.nearest_chunks(vectors_of, chunks, k), "hits")
+        crosses = answer.crossing(questions, self.vertices, hits)
+        prompts = answer.local_prompts(asked, entities, triples, hits, crosses, self.vertices, self.reports() if mode == "hybrid" else None)
+        return {"asked": asked, "entities": entities, "triples": triples, "hits": hits, "prompts": cut(prompts, "prompts")}
+
+    def ask_many(self, questions: DataFrame, mode: str = "local", paper_ids: list[str] | None = None) -> DataFrame:
+        """One row per question of a stated set (question_id, question): answer, type, sources and counts. Modes: local, global, hybrid."""
+        if mode not in ("local", "global", "hybrid"):
+            raise ValueError(f"no mode {mode}")
         start = time.time()
+        found = self.prepare(questions, mode, paper_ids)
+        prompts, asked = found["prompts"], found["asked"]
+        done = answer.answers(prompts.where("prompt IS NOT NULL"), self.generate, self.policy)
+        out = asked.join(done, "question_id", "left").join(prompts.select("question_id", "crosses", *(["n_entities"] if mode == "global" else [])), "question_id", "left")
+        none = F.array().cast("array<string>")
         if mode == "global":
-            context, kind, counts, cited = self._themes(question), "global", (0, 0, 0), []
+            out = out.withColumns({"answer": F.coalesce("answer", F.lit(answer.NO_THEMES)), "question_type": F.lit("global"), "citations": none, "n_triples": F.lit(0), "n_chunks": F.lit(0)})
         else:
-            found = self.retrieve(question, paper_ids)
-            one = F.lit(1).alias("one")
-            kg = graph.graph_text(found["entities"].withColumn("one", one), found["triples"].withColumn("one", one), "one").first()
-            hits = found["chunks"].orderBy("distance", "chunk_id").collect()  # at most k rows
-            cited = [h.chunk_id for h in hits]
-            text = "\n".join(f"{i}. 【{h.paper_id}】\n   {h.content[:300]}" for i, h in enumerate(hits, 1))
-            parts = [f"=== 知识图谱信息 ===\n{kg.kg_text}" if kg else "", f"\n=== 论文原文片段 ===\n{text}" if text else ""]
-            context = "\n".join(p for p in parts if p) or "（知识图谱为空，暂无任何论文数据。请先上传并处理论文。）"
-            if mode == "hybrid":
-                context = self._themes(question) + "\n\n" + context
-            kind, counts = f"{mode}/{found['question_type']}", (found["entities"].count(), found["triples"].count(), len(hits))
-        answer = self.generate(context)
-        row = (question, answer, kind, cited, *counts, (time.time() - start) * 1000)
-        return self.spark.createDataFrame([row], "question string, answer string, question_type string, citations array<string>, n_entities int, n_triples int, n_chunks int, latency_ms double")
-
-    def _themes(self, question: str) -> str:
-        """The community texts that share most with the question."""
-        known = self.vertices.where("community_id >= 0").select("entity_id", "community_id") if "community_id" in self.vertices.columns else self.communities()
-        made = community.reports(community.texts(self.vertices, self.links.na.fill("", ["source_entity_name", "target_entity_name"]), known)).select("community_id", F.col("title").alias("text"))
-        asked = self.spark.createDataFrame([(1, question)], "question_id int, question string").select("question_id", retrieve.keywords(F.col("question")).alias("keywords"))
-        chosen = retrieve.select_communities(asked, made).join(made, "community_id").orderBy("place").select("text").collect()  # at most five rows
-        return "\n\n".join(f"### Theme {i}: {c.text}" for i, c in enumerate(chosen, 1)) or "no themes"
+            n = lambda frame, name: frame.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias(name))
+            cited = found["hits"].groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("citations"))
+            for frame in (n(found["entities"], "n_entities"), n(found["triples"], "n_triples"), n(found["hits"], "n_chunks"), cited):
+                out = out.join(frame, "question_id", "left")
+            out = out.withColumn("citations", F.coalesce("citations", none)).na.fill(0, ["n_entities", "n_triples", "n_chunks"]).withColumn("question_type", F.concat(F.lit(f"{mode}/"), "question_type"))
+        return out.select("question_id", "question", "answer", "question_type", "crosses", "citations", "n_entities", "n_triples", "n_chunks", F.lit((time.time() - start) * 1000).alias("latency_ms"))
+
+    def ask(self, question: str, mode: str = "local", paper_ids: list[str] | None = None) -> DataFrame:
+        """One row: the answer to one question."""
+        return self.ask_many(self.spark.createDataFrame([(1, question)], "question_id int, question string"), mode, paper_ids).drop("question_id")
+
+    def converse(self, questions: DataFrame, mode: str = "local", shown: int = 5) -> tuple[DataFrame, DataFrame]:
+        """((question_id, answer), sources) of a conversation: blank questions are passed over, a word of farewell ends it, questions for the
+        graph's statistics are answered from it, and of the sources of the others the first few are shown and the rest counted."""
+        said = questions.withColumn("question", F.trim("question")).where("question <> ''")
+        end = said.where(F.lower("question").isin("exit", "quit", "q")).agg(F.min("question_id")).first()[0]
+        said = said if end is None else said.where(F.col("question_id") < end)
+        counted = said.where(answer.statistics_asked(F.col("question")))
+        others = cut(said.where(~answer.statistics_asked(F.col("question"))).select("question_id", "question"), "questions")
+        stats = counted.select("question_id").crossJoin(answer.statistics_text(self.vertices, self.links)).select("question_id", F.col("text").alias("answer"))
+        replies = self.ask_many(others, mode).select("question_id", "answer")
+        found = answer.subgraph(retrieve.analysed(others, self.keyword_generator, self.policy), self.vertices, self.links) if mode != "global" else (None, None)
+        sources = answer.sources(*found, shown) if found[0] is not None else self.spark.createDataFrame([], "question_id int, kind string, place int, line string, rest int")
+        return stats.unionByName(replies), sources

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.constants import COMMUNITY_MIN_SIZE
-from lattica.plans.components import components
+from lattica.functions.text import json_span
+from lattica.operators.calls import Generator, Policy, answered
+from lattica.operators.extract import PROMPTS, filled
 from lattica.plans.tables import cut
 
-#: A connected part of up to so many edges is split in one task by modularity; larger parts by label propagation.
-PART_EDGES = 2_000_000
+#: A level of moves ends when two rounds raise modularity by less than this, and detection when a level does.
+LEAST_GAIN = 1e-4
 
 
 def undirected(links: DataFrame) -> DataFrame:
@@ -23,93 +22,91 @@ def undirected(links: DataFrame) -> DataFrame:
     return links.where("source_entity_id <> target_entity_id").select(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b")).distinct()
 
 
-def modularity_labels(a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Labels of nodes 0..n-1 by repeated local moving and contraction until modularity stops rising."""
-    n = int(max(a.max(), b.max())) + 1 if len(a) else 0
-    weights: dict[tuple[int, int], float] = {}
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        weights[x, y] = weights.get((x, y), 0.0) + 1.0
-    label, rng = np.arange(n), np.random.default_rng(seed)
-    while True:
-        size = int(label.max()) + 1 if n else 0
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        degree = np.zeros(size)
-        for (x, y), w in weights.items():
-            degree[x] += w
-            degree[y] += w
-            if x != y:
-                near[x][y] = near[x].get(y, 0.0) + w
-                near[y][x] = near[y].get(x, 0.0) + w
-        total = degree.sum()
-        part, load = np.arange(size), degree.copy()
-        moved = True
-        any_move = False
-        while moved:
-            moved = False
-            for v in rng.permutation(size).tolist():
-                own, links = int(part[v]), {}
-                for u, w in near[v].items():
-                    links[int(part[u])] = links.get(int(part[u]), 0.0) + w
-                load[own] -= degree[v]
-                best, gain = own, links.get(own, 0.0) - degree[v] * load[own] / total
-                for c, w in sorted(links.items()):
-                    g = w - degree[v] * load[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                load[best] += degree[v]
-                if best != own:
-                    part[v] = best
-                    moved = any_move = True
-        if not any_move:
-            return label
-        _, part = np.unique(part, return_inverse=True)
-        label = part[label]
-        merged: dict[tuple[int, int], float] = {}
-        for (x, y), w in weights.items():
-            p, q = sorted((int(part[x]), int(part[y])))
-            merged[p, q] = merged.get((p, q), 0.0) + w
-        weights = merged
-
-
-def _split(pdf: pd.DataFrame) -> pd.DataFrame:
-    names = pd.unique(pd.concat([pdf["a"], pdf["b"]]).sort_values())
-    at = {n: i for i, n in enumerate(names)}
-    labels = modularity_labels(pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy())
-    low = pd.Series(names).groupby(labels).transform("min")
-    return pd.DataFrame({"entity_id": names, "label": low.to_numpy()})
-
-
-def propagate(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(entity_id, label): every node takes the label most of its neighbours have, the smallest among equals."""
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    now = both.select(F.col("a").alias("entity_id")).distinct().withColumn("label", F.col("entity_id"))
-    for _ in range(rounds):
-        votes = both.join(now, both["b"] == now["entity_id"]).groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
-        now = cut(votes.groupBy("a").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")).select(F.col("a").alias("entity_id"), "label"), "labels")
-    return now
-
-
-def detect(vertices: DataFrame, links: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
-    """(entity_id, community_id): each connected part is split on its own; isolated entities are communities of one.
-
-    A part of more than `part_edges` edges never reaches one task: label propagation splits it.
+def _moved(nodes: DataFrame, near: DataFrame, total: float, turn: int) -> DataFrame:
+    """(x, d, c, stay): one round of parallel local moving, and the weight each node had to its community before it.
+
+    A node goes to the neighbouring community that raises modularity most, judged by the communities before the
+    round. Of two neighbours only one may be moved in a round (nodes take turns by a hash), and single nodes join only a smaller
+    label, so that pairs do not swap for ever.
+    """
+    load = nodes.groupBy("c").agg(F.sum("d").alias("load"), F.count(F.lit(1)).alias("size"))
+    placed = nodes.join(load, "c").select("x", "d", F.col("c").alias("own"), F.col("load").alias("own_load"), F.col("size").alias("own_size"))
+    to = near.join(nodes.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w")).join(load, "c")
+    each = placed.join(to, "x", "left")
+    same = F.col("c") == F.col("own")
+    gain = F.coalesce("w", F.lit(0.0)) - F.col("d") * (F.col("load") - F.when(same, F.col("d")).otherwise(0.0)) / total
+    allowed = same | (F.col("own_size") > 1) | (F.col("size") > 1) | (F.col("c") < F.col("own"))
+    best = each.withColumn("gain", F.when(allowed & F.col("c").isNotNull(), gain)).groupBy("x").agg(
+        F.first("d").alias("d"), F.first("own").alias("own"), F.max(F.when(same, F.col("w"))).alias("stay"), F.max(F.when(same, F.col("gain"))).alias("now"), F.first("own_load").alias("own_load"),
+        F.max(F.when(~same & F.col("gain").isNotNull(), F.struct("gain", "c"))).alias("best"),
+    )
+    now = F.coalesce("now", -F.col("d") * (F.col("own_load") - F.col("d")) / total)
+    go = (F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > now + 1e-9)
+    return best.select("x", "d", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.coalesce("stay", F.lit(0.0)).alias("stay"), F.col("own"))
+
+
+def _quality(round_: DataFrame, total: float) -> float:
+    """Modularity before a round of moves, from what it recorded."""
+    own = round_.groupBy("own").agg(F.sum("d").alias("load"), F.sum("stay").alias("inside"))
+    return own.agg(F.sum(F.col("inside") / total - F.pow(F.col("load") / total, 2))).first()[0] or 0.0
+
+
+def labels(pairs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(entity_id, label): a partition of the nodes of `pairs` (a, b) by parallel local moving and contraction, until modularity stops rising.
+
+    Each round is a few joins and aggregations over the edges between communities, written once; each contraction leaves
+    one node per community. A node's neighbourhood is only ever an aggregate, so hubs are safe.
     """
-    pairs = cut(undirected(links), "undirected")
-    part = components(pairs)
-    sized = pairs.join(part.withColumnRenamed("node", "a"), "a")
-    counts = sized.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    marked = cut(sized.join(counts, "component"), "parts")
-    small = marked.where(F.col("m") <= part_edges).select("component", "a", "b").groupBy("component").applyInPandas(_split, "entity_id string, label string")
-    big = marked.where(F.col("m") > part_edges).select("a", "b")
-    labels = small.unionByName(propagate(big)) if big.take(1) else small
-    full = vertices.select("entity_id").join(labels, "entity_id", "left").select("entity_id", F.coalesce("label", "entity_id").alias("label"))
+    near = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(1.0).alias("w"))), "near")
+    total = float(near.count())
+    nodes = cut(near.groupBy("x").agg(F.sum("w").alias("d")).withColumn("c", F.col("x")), "nodes")
+    held = nodes.select(F.col("x").alias("entity_id"), F.col("x").alias("label"))
+    within = 0.0  # weight inside the contracted nodes
+    last_level = -1.0
+    while total:
+        quality, turn, best = [], 0, nodes
+        while True:
+            moved = cut(_moved(nodes, near, total, turn), "moved")
+            quality.append(_quality(moved, total) + within / total)
+            if quality[-1] >= max(quality):
+                best = nodes
+            nodes, turn = moved.select("x", "d", "c"), turn + 1
+            if len(quality) > 2 and quality[-1] - quality[-3] < least_gain:
+                break
+        held = cut(held.join(best.select(F.col("x").alias("label"), "c"), "label").select("entity_id", F.col("c").alias("label")), "held")
+        if max(quality) - last_level < least_gain:
+            return held
+        last_level = max(quality)
+        to = best.select("x", F.col("c").alias("cx"))
+        merged = near.join(to, "x").join(to.select(F.col("x").alias("y"), F.col("cx").alias("cy")), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w"))
+        merged = cut(merged, "merged")
+        within += merged.where("cx = cy").agg(F.sum("w")).first()[0] or 0.0
+        near = merged.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w")
+        nodes = cut(best.groupBy("c").agg(F.sum("d").alias("d")).select(F.col("c").alias("x"), "d", "c"), "nodes")
+    return held
+
+
+def detect(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(entity_id, community_id): communities by modularity, one way at every size; isolated entities are communities of one."""
+    found = labels(cut(undirected(links), "undirected"))
+    low = found.groupBy("label").agg(F.min("entity_id").alias("low"))
+    found = found.join(low, "label").select("entity_id", F.col("low").alias("label"))
+    full = cut(vertices.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("label", "entity_id").alias("label")), "labels")
     return full.join(renumber(full), "label").select("entity_id", "community_id")
 
 
 def renumber(labels: DataFrame) -> DataFrame:
-    """(label, community_id): 0 for the largest, the smallest member first among equals; one row per community."""
+    """(label, community_id): 0 for the largest, the smallest member first among equals; one row per community.
+
+    Communities are put into ranges of the order, numbered in each, and shifted by what the ranges before hold.
+    """
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("entity_id").alias("low"))
-    return sizes.withColumn("community_id", (F.row_number().over(Window.orderBy(F.desc("size"), "low")) - 1).cast("int")).select("label", "community_id")
+    ranges = cut(sizes.repartitionByRange(F.desc("size"), F.asc("low")).withColumn("part", F.spark_partition_id()), "ranges")
+    # One row per partition.
+    held = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = held.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "low")) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(before), "part").select("label", (F.col("before") + F.col("place")).cast("int").alias("community_id"))
 
 
 def modularity(pairs: DataFrame, communities: DataFrame) -> float:
@@ -125,14 +122,14 @@ def modularity(pairs: DataFrame, communities: DataFrame) -> float:
 
 
 def texts(vertices: DataFrame, links: DataFrame, communities: DataFrame, least: int = COMMUNITY_MIN_SIZE) -> DataFrame:
-    """(community_id, size, member_hash, entities, relations): of each community of `least` members or more, its members and inner edges as text."""
+    """(community_id, size, entity_ids, member_hash, entities, relations): of each community of `least` members or more, its members and inner edges as text."""
     c = communities.where("community_id >= 0")
     text = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("properties")["description"], F.lit(""))
     line = F.concat(F.lit("- ["), "entity_type", F.lit("] "), "name", F.when(text != "", F.concat(F.lit(": "), text)).otherwise(""))
     members = vertices.drop("community_id").join(c, "entity_id").select("community_id", "entity_id", line.alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("entity_id", "line")))
     e = members.groupBy("community_id").agg(ordered.alias("m")).where(F.size("m") >= least)
-    e = e.select("community_id", F.size("m").alias("size"), F.substring(F.sha2(F.array_join(F.col("m.entity_id"), "|"), 256), 1, 12).alias("member_hash"), F.array_join(F.col("m.line"), "\n").alias("entities"))
+    e = e.select("community_id", F.size("m").alias("size"), F.col("m.entity_id").alias("entity_ids"), F.substring(F.sha2(F.array_join(F.col("m.entity_id"), "|"), 256), 1, 12).alias("member_hash"), F.array_join(F.col("m.line"), "\n").alias("entities"))
     s, t = c.select(F.col("entity_id").alias("source_entity_id"), F.col("community_id").alias("cs")), c.select(F.col("entity_id").alias("target_entity_id"), F.col("community_id").alias("ct"))
     inner = links.join(s, "source_entity_id").join(t, "target_entity_id").where("cs = ct")
     note = F.coalesce(F.col("description"), F.lit(""))
@@ -141,27 +138,25 @@ def texts(vertices: DataFrame, links: DataFrame, communities: DataFrame, least:
     return e.join(r, "community_id", "left").withColumn("relations", F.coalesce("relations", F.lit("")))
 
 
-class Generator(Protocol):
-    """Answers a prompt with text; must be picklable."""
+REPORT = "title string, summary string, key_findings array<string>"
 
-    def __call__(self, prompt: str) -> str: ...
 
+def listing_report(prompt: str) -> str:
+    """Offline stand-in: the first members as title, their number as summary, the first relations as findings."""
+    entities, _, relations = prompt.partition("\n\nRelations:\n")
+    names = [x.split("] ", 1)[1].split(": ")[0] for x in entities.split("\n") if x.startswith("- [") and "] " in x]
+    findings = [x[2:] for x in relations.split("\n\nReturn a JSON")[0].split("\n") if x.startswith("- ")]
+    return json.dumps({"title": "; ".join(names[:3]), "summary": f"{len(names)} entities, {len(findings)} relations", "key_findings": findings[:3]}, ensure_ascii=False)
 
-def title_generator(prompt: str) -> str:
-    """Offline stand-in: the first members' names as title and summary."""
-    names = [x.split("] ", 1)[1].split(":")[0] for x in prompt.split("\n") if x.startswith("- [") and "] " in x][:3]
-    return "; ".join(names)
 
+def reports(community_texts: DataFrame, cached: DataFrame | None = None, generator: Generator | None = None, policy: Policy = Policy()) -> DataFrame:
+    """(community_id, member_hash, title, summary, key_findings, entity_ids, size, level): a report per community whose members no cached report covers.
 
-def reports(community_texts: DataFrame, cached: DataFrame | None = None, generator: Generator | None = None) -> DataFrame:
-    """(community_id, member_hash, size, title): a report per community whose members no cached report has."""
-    todo = community_texts if cached is None else community_texts.join(cached.select("member_hash").distinct(), "member_hash", "left_anti")
-    run = generator or title_generator
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = f[["community_id", "member_hash", "size"]].copy()
-            out["title"] = [run(f"{e}\n{r}") for e, r in zip(f["entities"], f["relations"], strict=True)]
-            yield out
-
-    return todo.select("community_id", "member_hash", "size", "entities", "relations").mapInPandas(build, "community_id int, member_hash string, size int, title string")
+    Communities whose call fails have no report and are asked again next time.
+    """
+    todo = community_texts if cached is None else community_texts.join(cached.where("coalesce(summary, '') <> ''").select("member_hash").distinct(), "member_hash", "left_anti")
+    prompts = todo.select("community_id", "member_hash", "entity_ids", "size", filled(PROMPTS["community"], entities=F.col("entities"), relations=F.col("relations")).alias("prompt"))
+    asked = cut(answered(prompts, "prompt", generator or listing_report, policy), "reports").where("error IS NULL")
+    x = F.from_json(json_span(F.col("output")), REPORT)
+    title = F.coalesce(x["title"], F.concat(F.lit("Community "), F.col("community_id").cast("string")))
+    return asked.select("community_id", "member_hash", title.alias("title"), F.coalesce(x["summary"], F.lit("")).alias("summary"), F.coalesce(x["key_findings"], F.array().cast("array<string>")).alias("key_findings"), "entity_ids", "size", F.lit(0).alias("level"))

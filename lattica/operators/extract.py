@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.constants import DOMAIN_TASKS, RELATION_TYPES
 from lattica.functions.text import json_repaired, json_span, relation_type, strip
+from lattica.operators.calls import Generator, Policy, answered
+from lattica.plans.tables import cut
 
 SCHEMA = """paper struct<title:string,title_zh:string,year:string,venue:string,abstract:string,description:string>,
 authors array<struct<name:string,name_zh:string,affiliation:string,description:string>>,
@@ -20,21 +18,16 @@ results array<struct<method:string,dataset:string,metric:string,value:string,des
 
 PROMPTS = {
     "extract": "Read the paper and return one JSON object with the keys paper, authors, methods, tasks, metrics, models, datasets, results and relations.\n\n{paper_content}",
-    "correct": "Your last answer could not be read: {error_message}\nReturn the corrected JSON object only.",
+    "correct": "Your last answer could not be read: {error_message}.\nReturn one JSON object with the keys paper, authors, methods, tasks, metrics, models, datasets, results and relations, and nothing else.\n\n{paper_content}",
     "metadata": "Return one JSON object with the key paper only: title, year, venue and abstract.\n\n{paper_content}",
     "community": "Entities:\n{entities}\n\nRelations:\n{relations}\n\nReturn a JSON object with title, summary and key_findings.",
+    "keywords": "Name the methods, datasets, papers and other things this question is about, not general terms.\nReturn one JSON object with the keys keywords (a list of strings) and question_type (method, limitation, summary, comparison or general).\n\nQuestion: {question}",
     "global": "Themes:\n{community_reports}\n\nAnswer from these themes: {question}",
     "single": "Context:\n{context}\n\nQuestion ({question_type}): {question}",
     "cross": "Context from several papers:\n{context}\n\nCompare them for the question ({question_type}): {question}",
 }
 
 
-class Generator(Protocol):
-    """Answers a prompt with text; must be picklable. Raises for errors that repeating will not cure."""
-
-    def __call__(self, prompt: str) -> str: ...
-
-
 def filled(template: str, **values: Column) -> Column:
     """A template with its placeholders replaced literally."""
     out = F.lit(template)
@@ -51,37 +44,25 @@ def parsed(output: Column) -> Column:
     return F.when(good(first), first).when(good(second), second)
 
 
-def with_levels(papers: DataFrame, generator: Generator, text: str = "text", metadata_chars: int = 5000) -> DataFrame:
-    """`papers` plus outputs (level, output) of three rising levels: the full prompt, a correction, metadata only.
+LEVELS = ("extract", "correct", "metadata")
+
+
+def with_levels(papers: DataFrame, generator: Generator, text: str = "text", metadata_chars: int = 5000, policy: Policy = Policy()) -> DataFrame:
+    """`papers` plus level (1 to 3, null if all failed) and parsed: the full prompt, a correction, metadata only.
 
-    All levels are asked in one pass over the partitions, later ones only if no brace came back; which
-    output is used is decided by `chosen`, in the JVM.
+    A paper goes on to the next level if its answer does not read: no object, broken JSON, no title, or a failed call.
+    Each level is asked once, of those left over, and written before the next; errors that repeating will not cure end the job.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in papers.schema.fields) + ", outputs array<string>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for body in f[text]:
-                body = body or ""
-                outs = [generator(PROMPTS["extract"].replace("{paper_content}", body))]
-                if "{" not in (outs[-1] or ""):
-                    outs.append(generator(PROMPTS["correct"].replace("{error_message}", "no JSON object")))
-                if "{" not in (outs[-1] or ""):
-                    outs.append(generator(PROMPTS["metadata"].replace("{paper_content}", body[:metadata_chars])))
-                rows.append(outs)
-            out = f.copy()
-            out["outputs"] = rows
-            yield out
-
-    return papers.mapInPandas(run, schema)
-
-
-def chosen(outputs: DataFrame) -> DataFrame:
-    """`outputs` plus level (1 to 3, null if all failed) and the parsed struct of the first level that reads."""
-    tries = [parsed(F.try_element_at("outputs", F.lit(i))) for i in (1, 2, 3)]
-    level = F.coalesce(*(F.when(t.isNotNull(), F.lit(i)) for i, t in enumerate(tries, 1)))
-    return outputs.withColumn("level", level).withColumn("parsed", F.coalesce(*tries)).drop("outputs")
+    columns, left, done = papers.columns, papers, None
+    for level, name in enumerate(LEVELS, 1):
+        body = F.coalesce(F.col(text), F.lit(""))
+        prompt = filled(PROMPTS[name], paper_content=F.substring(body, 1, metadata_chars) if name == "metadata" else body, error_message=F.lit("it was no valid JSON object or lacked required fields"))
+        read = answered(left.withColumn("_prompt", prompt), "_prompt", generator, policy).withColumn("parsed", parsed(F.col("output")))
+        read = cut(read.select(*columns, "parsed"), "level")
+        good = read.where("parsed IS NOT NULL").select(*columns, F.lit(level).alias("level"), "parsed")
+        done = good if done is None else done.unionByName(good)
+        left = read.where("parsed IS NULL").select(*columns)
+    return done.unionByName(read.where("parsed IS NULL").select(*columns, F.lit(None).cast("int").alias("level"), "parsed"))
 
 
 def _id(*parts: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,44 +63,43 @@ def ego(links: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, DataF
     return reached, inside.select("seed", F.col("s").alias("source_entity_id"), F.col("t").alias("target_entity_id"))
 
 
-def shortest_path(links: DataFrame, start: str, goal: str, max_steps: int = 20) -> list[str]:
-    """Node ids of a shortest directed path, empty if there is none; smallest predecessor first among equals.
+def _pairs(links: DataFrame) -> DataFrame:
+    return cut(links.select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t")).distinct(), "pairs")
+
+
+def _frontiers(links: DataFrame, start: str) -> Iterator[DataFrame]:
+    """(node, parent, depth) of what each further step from `start` reaches first, until nothing is; smallest predecessor first among equals.
 
-    A breadth-first frontier is written to the shared folder after each step, so the plan does not grow.
+    Each frontier is written before the next, so the plan does not grow.
     """
-    if start == goal:
-        return [start]
-    spark = links.sparkSession
-    pairs = links.select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t")).distinct()
-    seen = spark.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
-    frontier = seen
-    for depth in range(1, max_steps + 1):
+    pairs = _pairs(links)
+    seen = frontier = links.sparkSession.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
+    depth = 0
+    while frontier.take(1):
+        yield frontier
+        depth += 1
         step = frontier.join(pairs, frontier["node"] == pairs["s"]).groupBy(F.col("t").alias("node")).agg(F.min("s").alias("parent")).withColumn("depth", F.lit(depth))
         frontier = cut(step.join(seen.select("node"), "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
+
+
+def shortest_path(links: DataFrame, start: str, goal: str) -> list[str]:
+    """Node ids of a shortest directed path, empty if there is none; smallest predecessor first among equals."""
+    steps = []
+    for frontier in _frontiers(links, start):
+        steps.append(frontier)
         if frontier.where(F.col("node") == goal).take(1):
             path = [goal]
-            while path[-1] != start:
-                path.append(seen.where(F.col("node") == path[-1]).first().parent)
+            # Each step back reads the one frontier the node was first reached in.
+            for back in reversed(steps[1:]):
+                path.append(back.where(F.col("node") == path[-1]).first().parent)
             return path[::-1]
-        if not frontier.take(1):
-            break
     return []
 
 
-def distances(links: DataFrame, start: str, max_steps: int = 20) -> DataFrame:
-    """(node, depth) of everything reachable from `start`, each frontier written before the next."""
-    spark = links.sparkSession
-    pairs = cut(links.select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t")).distinct(), "pairs")
-    seen = spark.createDataFrame([(start, 0)], "node string, depth int")
-    frontier = seen
-    for depth in range(1, max_steps + 1):
-        step = frontier.join(pairs, frontier["node"] == pairs["s"]).select(F.col("t").alias("node")).distinct().withColumn("depth", F.lit(depth))
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti"), "frontier")
-        if not frontier.take(1):
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+def distances(links: DataFrame, start: str) -> DataFrame:
+    """(node, depth) of everything reachable from `start`."""
+    return reduce(DataFrame.unionByName, _frontiers(links, start)).select("node", "depth")
 
 
 def degrees(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -121,6 +123,26 @@ def delete_entities(vertices: DataFrame, links: DataFrame, doomed: DataFrame) ->
     return kept, left
 
 
+def merged_nodes(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per entity_id of rows that stand for it: name, type and place of the stored row (else the first), the longest description,
+    the distinct chunk and paper ids, and of each property its distinct values in order of arrival, joined by '; '."""
+    marked = rows.join(stored.select("entity_id", F.lit(True).alias("_old")).distinct(), "entity_id", "left")
+    order = F.struct(F.col("_old").isNull(), "seq")
+    special = {"entity_id", "description", "properties", "source_chunk_ids", "source_paper_ids", "_old"}
+    keep = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rows.columns if c not in special]
+    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
+    lists = [ids(c) for c in ("source_chunk_ids", "source_paper_ids") if c in rows.columns]
+    longest = [F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description")] if "description" in rows.columns else []
+    head = marked.groupBy("entity_id").agg(*keep, *longest, *lists)
+    if "properties" not in rows.columns:
+        return head.select(*rows.columns)
+    pairs = rows.select("entity_id", "seq", F.explode("properties").alias("k", "v")).where("v IS NOT NULL AND v <> ''")
+    first = pairs.groupBy("entity_id", "k", "v").agg(F.min("seq").alias("at"))
+    values = first.groupBy("entity_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), "; ").alias("v"))
+    props = values.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
+    return head.join(props, "entity_id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>"))).select(*rows.columns)
+
+
 def merge_attributes(entities: DataFrame, group: Column) -> DataFrame:
     """One row per group: longest name and description (the earliest of equals), distinct chunk and paper ids, and of each
     property its distinct values in order of arrival, joined by '; '.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lattica.constants import AUTO_MERGE, FALLBACK_RATIO, MAX_CANDIDATES, REVIEW_LOWER, ROUGH_RATIO
 from lattica.functions.text import cosine, normalized_name
+from lattica.plans.tables import cut
 
 
 @F.pandas_udf(T.DoubleType())
@@ -98,18 +99,53 @@ def statistics(aliases: DataFrame, reviews: DataFrame) -> DataFrame:
     return aliases.agg(F.count(F.lit(1)).alias("aliases")).crossJoin(s)
 
 
+def _grams(norm: Column, padded: bool) -> Column:
+    """The distinct pairs of neighbouring characters of a name; padded ones include its ends."""
+    text = F.concat(F.lit("\x01"), norm, F.lit("\x02")) if padded else norm
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda p: F.substring(text, p, F.lit(2))))
+
+
+def _blocked(names: DataFrame, least: float) -> DataFrame:
+    """(entity_type, a, b): pairs of different names of a type that may be contained in each other or reach the ratio, a before b in no order.
+
+    For the ratio r both names offer their rarest padded grams: of d characters dropped and i added, d + i is at most 1 - r of both
+    lengths together, and they destroy 2 d + i grams at most; over all d and i that is the larger of 4 (1 - r) / (2 - r) and 2 (1 - r) / r of a
+    name's length, and one gram more must be shared. A contained name meets its container by its rarest gram.
+    """
+    part = max(4 * (1 - least) / (2 - least), 2 * (1 - least) / least)
+    ends = names.select("entity_type", "norm", F.explode(_grams(F.col("norm"), True)).alias("gram"))
+    spread = ends.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    most = F.floor(F.length("norm") * F.lit(part) + 1e-9).cast("int") + 1
+    ranked = ends.join(spread, ["entity_type", "gram"]).groupBy("entity_type", "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    rare = ranked.select("entity_type", "norm", F.explode(F.slice("g", F.lit(1), most)).alias("x")).where("x.n > 1").select("entity_type", "norm", F.col("x.gram").alias("gram"))
+    x, y = rare.withColumnRenamed("norm", "a"), rare.withColumnRenamed("norm", "b")
+    close = x.join(y, ["entity_type", "gram"]).where((F.col("a") < F.col("b")) & may_reach(F.col("a"), F.col("b"), least)).select("entity_type", "a", "b")
+    inner = names.where("norm <> ''").select("entity_type", "norm", F.explode(_grams(F.col("norm"), False)).alias("gram"))
+    if names.where(F.length("norm") == 1).take(1):
+        inner = inner.unionByName(names.where(F.length("norm") > 1).select("entity_type", "norm", F.explode(F.array_distinct(F.split("norm", ""))).alias("gram")))
+    count = inner.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    one = inner.join(count, ["entity_type", "gram"]).where((F.length("gram") == 2) | (F.length("norm") == 1)).groupBy("entity_type", "norm").agg(F.min(F.struct("n", "gram")).alias("g")).select("entity_type", F.col("norm").alias("a"), F.col("g.gram").alias("gram"))
+    held = one.join(inner.withColumnRenamed("norm", "b"), ["entity_type", "gram"]).where((F.length("a") < F.length("b")) & F.contains("b", F.col("a"))).select("entity_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return close.unionByName(held).distinct()
+
+
 def similar_pairs(vertices: DataFrame, least: float = FALLBACK_RATIO) -> DataFrame:
-    """(id_a, id_b, similarity): pairs of a type, earlier first, equal 1, contained 0.95, else the ratio from `least` on.
+    """(id_a, id_b, similarity): pairs of a type, earlier first: contained names 0.95, else the ratio from `least` on; equal names 1.
 
-    Equal and contained names and the length bound are settled by expressions; the ratio runs on what is left.
+    Names are compared once each, by the first entity that has them; every later one of the same name is paired with that first one,
+    so that a common name costs its rows and not their pairs.
     """
-    rows = vertices.where("name IS NOT NULL").select("entity_id", "entity_type", "seq", normalized_name(F.col("name")).alias("norm"))
-    a, b = (rows.select("entity_type", *(F.col(c).alias(f"{c}_{s}") for c in ("entity_id", "seq", "norm"))) for s in "ab")
-    pairs = a.join(b, "entity_type").where("seq_a < seq_b AND entity_id_a <> entity_id_b")
-    inside = (F.col("norm_a") != "") & (F.col("norm_b") != "") & (F.contains("norm_a", F.col("norm_b")) | F.contains("norm_b", F.col("norm_a")))
-    simple = F.when(F.col("norm_a") == F.col("norm_b"), 1.0).when(inside, 0.95)
-    split = pairs.withColumn("simple", simple)
-    sure = split.where(F.col("simple").isNotNull()).withColumn("similarity", F.col("simple"))
-    rest = split.where(F.col("simple").isNull() & may_reach(F.col("norm_a"), F.col("norm_b"), least)).withColumn("similarity", char_ratio("norm_a", "norm_b"))
-    both = sure.unionByName(rest).where(F.col("similarity") >= least)
-    return both.select(F.col("entity_id_a").alias("id_a"), F.col("entity_id_b").alias("id_b"), F.bround("similarity", 3).alias("similarity"))
+    rows = cut(vertices.where("name IS NOT NULL").select("entity_id", "entity_type", "seq", normalized_name(F.col("name")).alias("norm")), "rows")
+    names = cut(rows.groupBy("entity_type", "norm").agg(F.min(F.struct("seq", "entity_id")).alias("first")), "names")
+    same = rows.join(names, ["entity_type", "norm"]).where("entity_id <> first.entity_id").select(F.col("first.entity_id").alias("id_a"), F.col("entity_id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    pairs = cut(_blocked(names.where("norm <> ''").select("entity_type", "norm"), least), "blocked")
+    a, b = (names.select("entity_type", F.col("norm").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab")
+    both = pairs.join(a, ["entity_type", "a"]).join(b, ["entity_type", "b"])
+    # The earlier name is the first argument of the ratio, which depends on their order.
+    swap = F.col("first_b.seq") < F.col("first_a.seq")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    ordered = both.select(pick("first_a.entity_id", "first_b.entity_id").alias("id_a"), pick("first_b.entity_id", "first_a.entity_id").alias("id_b"), pick("a", "b").alias("x"), pick("b", "a").alias("y"))
+    inside = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
+    sure = ordered.where(inside).select("id_a", "id_b", F.lit(0.95).alias("similarity"))
+    rest = ordered.where(~inside).withColumn("similarity", char_ratio("x", "y")).where(F.col("similarity") >= least).select("id_a", "id_b", "similarity")
+    return same.unionByName(sure).unionByName(rest).where(F.col("similarity") >= least).select("id_a", "id_b", F.bround("similarity", 3).alias("similarity"))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.constants import CROSS_PAPER_WORDS, PREVIEW_CHARS, QUESTION_KEYWORDS, STOPWORDS, SYNONYMS, TYPE_PRIORITY
-from lattica.plans.tables import maybe_broadcast
+from lattica.functions.text import json_span
+from lattica.operators.calls import Generator, Policy, answered
+from lattica.operators.extract import PROMPTS, filled
+from lattica.plans.tables import cut, maybe_broadcast
 
 TOKENS = r"[a-zA-Z]+|[^\x00-\x7F]+"
 
@@ -28,6 +31,21 @@ def keywords(question: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(STOPWORDS))
 
 
+def analysed(questions: DataFrame, generator: Generator | None = None, policy: Policy = Policy()) -> DataFrame:
+    """(question_id, question, question_type, keywords) of a stated set (question_id, question): a generator's keywords, expanded, or else by rule.
+
+    An answer without a readable object, or a call that fails, leaves the question to the rule.
+    """
+    kind, words = question_type(F.col("question"))[0], keywords(F.col("question"))
+    if generator is None:
+        return questions.select("question_id", "question", kind.alias("question_type"), words.alias("keywords"))
+    prompts = questions.select("question_id", "question", filled(PROMPTS["keywords"], question=F.col("question")).alias("prompt"))
+    read = cut(answered(prompts, "prompt", generator, policy), "keywords").withColumn("x", F.from_json(json_span(F.col("output")), "keywords array<string>, question_type string, _corrupt_record string"))
+    good = F.col("x").isNotNull() & F.col("x._corrupt_record").isNull()
+    asked = expanded(F.filter(F.coalesce("x.keywords", F.array().cast("array<string>")), lambda w: w.isNotNull()))
+    return read.select("question_id", "question", F.when(good, F.coalesce("x.question_type", F.lit("general"))).otherwise(kind).alias("question_type"), F.when(good, asked).otherwise(words).alias("keywords"))
+
+
 def expanded(words: Column) -> Column:
     """The keywords plus the synonyms of each concept one of them names, sorted and distinct."""
     def names(concept: str, english: list[str]):

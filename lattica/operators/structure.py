@@ -68,6 +68,19 @@ def split_references(text: Column) -> tuple[Column, Column]:
     return body, F.when(at > 0, F.substring(text, at + F.length(mark), F.length(text)))
 
 
+def title(own: Column, filename: Column) -> Column:
+    """A document's own title, stripped, else its file's name without the ending."""
+    return F.coalesce(F.nullif(strip(own), F.lit("")), F.regexp_replace(filename, r"\.[^.]*$", ""))
+
+
+def scope(filenames: DataFrame, chosen: Column) -> DataFrame:
+    """(label, paper_id) of the files (filename, at) whose labels are chosen: a label is a name's first characters, the latest file keeps it."""
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    named = filenames.select(F.substring(stem, 1, 50).alias("label"), paper_key(F.col("filename")).alias("paper_id"), "at")
+    last = named.groupBy("label").agg(F.min_by("paper_id", "at").alias("paper_id"))
+    return last.where(F.array_contains(chosen, F.col("label")))
+
+
 def paper_key(filename: Column) -> Column:
     """A stable id from a file's name."""
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")

@@ -48,6 +48,13 @@ def embed(df: DataFrame, text: str, embedder: Embedder | None = None, out: str =
     return df.withColumn(out, vectors(text))
 
 
+def embed_distinct(df: DataFrame, text: str, embedder: Embedder | None = None, out: str = "embedding") -> DataFrame:
+    """`df` plus a vector column; each distinct text is embedded once and joined back, by its hash."""
+    h = F.xxhash64(text)
+    made = embed(df.where(F.col(text).isNotNull()).groupBy(h.alias("_h"), text).agg(F.lit(1).alias("_one")).drop("_one"), text, embedder, out)
+    return df.withColumn("_h", h).join(made, ["_h", text], "left").drop("_h")
+
+
 def scored(vectors: DataFrame, query: Column, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("distance", F.lit(1.0) - cosine(F.col(vector), query))
 

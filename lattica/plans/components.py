@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from lattica.plans.tables import cut
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells two sets of distinct edges apart: their number and two digests of them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of `edges` (its first two columns) with the smallest node it reaches.
 
@@ -20,18 +25,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     base = cut(base, "edges")
     nodes = base.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = cut(base.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-    for _ in range(max_rounds):
+    state = _state(now)
+    for _ in range(max_rounds if state[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(small, "star")
-        if after.count() == now.count() and not after.exceptAll(now).take(1):
+        now, before = cut(small, "star"), state
+        state = _state(now)
+        if state == before:
             break
-        now = after
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     low = now.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(low, nodes["node"] == low["u"], "left").select("node", F.coalesce("m", "node").alias("component"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +24,58 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set, else one of this process (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir where set; on a local master (tests, one machine) one of this process.
+
+    On a cluster it must be set: a folder of one machine would lose rows there.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, folder, True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     The lineage ends at files every executor can reach, so a lost executor costs the
-    tasks it ran and not the whole plan, and a frame read twice is computed once.
+    tasks it ran and not the whole plan, and a frame read twice is computed once. `release` deletes the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what `cut` has written in this process, from its `since`-th folder on; frames that read it end with it. Returns the number of folders."""
+    gone, _written[since:] = _written[since:], []
+    jvm = spark._jvm
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was written inside; results must have been stored by then."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def bounded(df: DataFrame, max_rows: int, what: str) -> list:
     """Rows of a table that must stay small by its nature; raises rather than truncates beyond `max_rows`."""
     rows = df.limit(max_rows + 1).collect()

@@ -8,6 +8,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lattica.operators.structure import title
+from lattica.sources import pdf
 
 BLOCKS = "path string, page_num int, page_width double, page_height double, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
 
@@ -30,8 +34,31 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime", F.md5("content").alias("digest"))
 
 
-def blocks(spark: SparkSession, path: str, pattern: str = "*.pdf", parser: PageParser = plain_text) -> DataFrame:
+def parser_of(pattern: str) -> PageParser:
+    """The parser a file name pattern asks for."""
+    return pdf.parse if pattern.lower().endswith(".pdf") else plain_text
+
+
+def titles(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, title): the title a file's own data give it, else its name without the ending."""
+
+    @F.pandas_udf(StringType())
+    def own(contents: pd.Series) -> pd.Series:
+        def one(c):
+            try:
+                return pdf.title_of(c)
+            except Exception:  # noqa: BLE001 - one bad file must not stop the scan
+                return None
+
+        return contents.map(one)
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return raw.select("path", title(own("content") if pattern.lower().endswith(".pdf") else F.lit(None).cast("string"), F.element_at(F.split("path", "/"), -1)).alias("title"))
+
+
+def blocks(spark: SparkSession, path: str, pattern: str = "*.pdf", parser: PageParser | None = None) -> DataFrame:
     """Positioned blocks of every file; a file the parser fails on gives one block with its error and page 0."""
+    parser = parser or parser_of(pattern)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +60,69 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_document(entities: DataFrame, triples: DataFrame, path: str) -> None:
-    """One graph document of at most a driver's size: an export for tools that read whole documents, not a table format."""
-    e = entities.agg(F.sort_array(F.collect_list(F.struct(*entities.columns))).alias("entities"))
-    t = triples.agg(F.sort_array(F.collect_list(F.struct(*triples.columns))).alias("triples"))
-    counted = e.crossJoin(t).withColumn("stats", F.struct(F.size("entities").alias("total_entities"), F.size("triples").alias("total_triples")))
-    counted.coalesce(1).write.mode("overwrite").json(path)
+    """One graph document in order of arrival, for tools that read whole documents; its rows are encoded in parallel and only joined by one task.
+
+    For tables of any size use `export.write_graph`, which writes in parallel.
+    """
+    stats = _shares(entities, "entity_type", "entity").crossJoin(_shares(triples, "relation_type", "relation"))
+    tail = F.concat(F.lit('], "stats": '), F.to_json(F.struct("total_entities", "total_triples", "entity_type_distribution", "relation_type_distribution")), F.lit("}"))
+    _write(path, [('{"entities": [', _lines(entities)), ('], "triples": [', _lines(triples))], stats.select(tail.alias("line")))
+
+
+def _shares(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """One row: the total and a map of the types' numbers."""
+    n = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+    plural = "entities" if name == "entity" else "triples"
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"total_{plural}"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(F.col(kind).alias("k"), "n"))))).alias(f"{name}_type_distribution"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(at, line): rows as JSON objects, in order of arrival where they have one."""
+    order = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
+    return rows.select(order.alias("at"), F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("line"))
+
+
+def _commas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A comma before every row of a list but its first; lists have odd part numbers."""
+    last = None
+    for batch in batches:
+        out = []
+        for part, line in zip(batch.column("part").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            out.append("," + line if part % 2 and part == last else line)
+            last = part
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+
+
+def _write(path: str, parts: list[tuple[str, DataFrame]], tail: DataFrame) -> None:
+    """One file of lines under `path`: heads, each followed by its list of (at, line), and the tail (line); rows are encoded in parallel, one task joins them."""
+    spark = tail.sparkSession
+    out = tail.select(F.lit(2 * len(parts)).alias("part"), F.lit(0).cast("long").alias("at"), "line")
+    for k, (head, rows) in enumerate(parts):
+        out = out.unionByName(spark.range(1).select(F.lit(2 * k).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(head).alias("line")))
+        out = out.unionByName(rows.select(F.lit(2 * k + 1).alias("part"), "at", "line"))
+    out.orderBy("part", "at", "line").coalesce(1).mapInArrow(_commas, "line string").write.mode("overwrite").text(path)
+
+
+def _end(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(text).alias("line"))
+
+
+def write_aliases(aliases: DataFrame, path: str) -> None:
+    """The alias table as one document, rewritten in full."""
+    _write(path, [('{"aliases": [', _lines(aliases))], _end(aliases.sparkSession, "]}"))
+
+
+def write_reviews(reviews: DataFrame, path: str) -> None:
+    """The review queue as one document, rewritten in full."""
+    _write(path, [('{"pending": [', _lines(reviews))], _end(reviews.sparkSession, "]}"))
+
+
+def write_reports(reports: DataFrame, path: str, model: str = "") -> None:
+    """The community reports as one document keyed by community, rewritten in full."""
+    fields = [c for c in ("title", "summary", "key_findings", "entity_ids", "size", "level") if c in reports.columns]
+    entry = F.concat(F.lit('"'), F.col("community_id").cast("string"), F.lit('": '), F.to_json(F.struct(*fields)))
+    head = '{"generated_at": "' + datetime.now(timezone.utc).isoformat() + f'", "model": {json.dumps(model)}, "communities": {{'
+    _write(path, [(head, reports.select(F.col("community_id").cast("long").alias("at"), entry.alias("line")))], _end(reports.sparkSession, "}}"))
 
 
 def _nested(ddl: str) -> str:

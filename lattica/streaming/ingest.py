@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lattica.operators import chunking, incremental
-from lattica.plans.tables import shared_dir
 
 
 def chunk_stream(papers: DataFrame, store: str, checkpoint: str | None = None) -> StreamingQuery:
@@ -25,7 +26,8 @@ def chunk_stream(papers: DataFrame, store: str, checkpoint: str | None = None) -
         new = incremental.diff(made, earlier.where(F.col("batch") < number))[0] if earlier is not None else made
         new.withColumn("extraction_status", F.lit("pending")).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    where = checkpoint or f"{shared_dir(spark)}/ingest-{abs(hash(store)):x}"
+    # Beside the store and named by it, so that a later process goes on where this one stopped.
+    where = checkpoint or f"{store.rstrip('/')}-checkpoint-{md5(store.encode(), usedforsecurity=False).hexdigest()[:12]}"
     return papers.writeStream.foreachBatch(write).option("checkpointLocation", where).trigger(availableNow=True).start()
 
 

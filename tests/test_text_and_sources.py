@@ -1,7 +1,13 @@
 import json
+import os
+import subprocess
+import sys
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from lattica.operators.calls import Policy
 from lattica.operators import chunking, extract, incremental, structure, vectors
 from lattica.sources import documents, export, graph_json
 from lattica.streaming import ingest
@@ -62,15 +68,18 @@ def test_extraction(spark):
 
 
 def test_levels_and_cross_paper_text(spark):
-    answers = iter([])
-    assert list(answers) == []
-
     def generator(prompt):
-        return '{"paper": {"title": "X"}}' if "key paper only" in prompt else "sorry"
-
-    papers = spark.createDataFrame([("p", "body"), ("q", None)], "paper_id string, text string")
-    rows = extract.chosen(extract.with_levels(papers, generator)).collect()
-    assert {(r.paper_id, r.level, r.parsed.paper.title) for r in rows} == {("p", 3, "X"), ("q", 3, "X")}
+        if prompt.startswith("Read the paper"):
+            return '{"paper": {"title": "First"}}' if "good" in prompt else '{"paper": {"title" "X"}}'
+        if prompt.startswith("Your last answer"):
+            if "fails" in prompt:
+                raise RuntimeError("timed out")
+            return '{"paper": {"title": " "}}' if "blank" in prompt else '{"paper": {"title": "Second"}}' if "second" in prompt else "sorry"
+        return '{"paper": {"title": "Third"}}' if "third" in prompt or "fails" in prompt or "blank" in prompt else ""
+
+    papers = spark.createDataFrame([("p", "good"), ("q", "second"), ("r", "third"), ("s", "fails"), ("t", "blank"), ("u", None), ("v", "never")], "paper_id string, text string")
+    rows = extract.with_levels(papers, generator, policy=Policy(attempts=1)).collect()
+    assert {r.paper_id: (r.level, r.parsed and r.parsed.paper.title) for r in rows} == {"p": (1, "First"), "q": (2, "Second"), "r": (3, "Third"), "s": (3, "Third"), "t": (3, "Third"), "u": (None, None), "v": (None, None)}
     schema = "a struct<summary:string,details:array<struct<method:string,description:string,experiments:array<struct<paper:string,dataset:string,metric:string,result:string>>,advantage:string>>,missing_papers:array<string>>"
     df = spark.createDataFrame([(("S", [("M", "d", [("P", "D", "F1", "3")], None)], ["Z"]),)], schema)
     text = df.select(extract.cross_paper_answer(F.col("a")).alias("t")).first().t
@@ -118,6 +127,112 @@ def test_document_scan(spark, tmp_path):
     assert [(r.page_num, r.text) for r in documents.blocks(spark, str(tmp_path), "*.txt").orderBy("page_num", "block_no").collect()] == [(1, "First block here"), (1, "Second block"), (2, "Page two")]
 
 
+def small_pdf(pages, title=None, packed=False):
+    """A PDF file of pages of (x, y, text) lines."""
+    bodies, kids = {}, []
+    for k, lines in enumerate(pages):
+        ops = "BT /F1 12 Tf " + " ".join(f"1 0 0 1 {x} {y} Tm ({t}) Tj" for x, y, t in lines) + " ET"
+        stream = ops.encode("cp1252")
+        head = f"<< /Length {len(stream)} >>"
+        if packed:
+            stream = zlib.compress(stream)
+            head = f"<< /Length {len(stream)} /Filter /FlateDecode >>"
+        bodies[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>".encode()
+        bodies[11 + 2 * k] = head.encode() + b" stream\n" + stream + b"\nendstream"
+        kids.append(f"{10 + 2 * k} 0 R")
+    bodies[1] = b"<< /Type /Catalog /Pages 2 0 R >>"
+    bodies[2] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] /MediaBox [0 0 600 800] /Resources << /Font << /F1 5 0 R >> >> >>".encode()
+    bodies[5] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    bodies[6] = f"<< /Title ({title or ''}) >>".encode()
+    out = b"%PDF-1.4\n" + b"".join(f"{n} 0 obj ".encode() + b + b" endobj\n" for n, b in sorted(bodies.items()))
+    return out + b"trailer << /Root 1 0 R /Info 6 0 R >>\nstartxref\n0\n%%EOF"
+
+
+def test_pdf_files(spark, tmp_path):
+    pages = [[(60, 780, "Running header"), (60, 600, "1. Introduction"), (60, 586, "We test \\(and fit\\) it."), (60, 400, "Another paragraph here")], [(60, 700, "Second page text"), (300, 40, "12")]]
+    (tmp_path / "My Paper.pdf").write_bytes(small_pdf(pages, " A Title ", True))
+    (tmp_path / "other.pdf").write_bytes(small_pdf([[(60, 500, "Only one line")]]))
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf at all")
+    got = documents.blocks(spark, str(tmp_path)).withColumn("paper_id", F.col("path"))
+    mine = [(r.page_num, r.page_height, r.text) for r in got.where("path LIKE '%My%20Paper.pdf' OR path LIKE '%My Paper.pdf'").orderBy("page_num", "block_no").collect()]
+    assert mine == [(1, 800.0, "Running header"), (1, 800.0, "1. Introduction\nWe test (and fit) it."), (1, 800.0, "Another paragraph here"), (2, 800.0, "Second page text"), (2, 800.0, "12")]
+    assert got.where("path LIKE '%bad.pdf'").first().text.startswith("error: ")
+    body = structure.full_text(structure.reading_order(structure.body_blocks(got.where("page_num > 0"))))
+    texts = {r.paper_id.split("/")[-1].replace("%20", " "): r.full_text for r in body.collect()}
+    assert texts["My Paper.pdf"] == "1. Introduction\nWe test (and fit) it.\nAnother paragraph here\n\nSecond page text"
+    assert {r.path.split("/")[-1].replace("%20", " "): r.title for r in documents.titles(spark, str(tmp_path)).collect()} == {"My Paper.pdf": "A Title", "other.pdf": "other", "bad.pdf": "bad"}
+
+
+def test_scope_and_retry(spark):
+    files = spark.createDataFrame([("My Paper.pdf", 2), ("x" * 60 + ".pdf", 1), ("Other.pdf", 3)], "filename string, at int")
+    got = {r.label: r.paper_id for r in structure.scope(files, F.array(F.lit("My Paper"), F.lit("x" * 50))).collect()}
+    assert got == {"My Paper": "my_paper", "x" * 50: "x" * 50}
+    chunks = spark.createDataFrame([("a", "text", "failed"), ("b", "text", "failed"), ("c", None, "failed"), ("d", "text", "pending")], "chunk_id string, content string, extraction_status string")
+    after = incremental.retry(chunks, ["a", "b", "c"], lambda rows: rows.where("chunk_id = 'a'"))
+    assert {r.chunk_id: r.extraction_status for r in after.collect()} == {"a": "success", "b": "failed", "c": "failed", "d": "pending"}
+
+
+def test_document_sinks(spark, tmp_path):
+    aliases = spark.createDataFrame([("x", "The \"A\"", "e1", "Model", "auto", 0.5, "now")] * 2, graph_json.ALIAS)
+    graph_json.write_aliases(aliases, str(tmp_path / "aliases"))
+    assert [r.alias_text for r in graph_json.read_aliases(spark, str(tmp_path / "aliases")).collect()] == ['The "A"'] * 2
+    reviews = spark.createDataFrame([], graph_json.REVIEW)
+    graph_json.write_reviews(reviews, str(tmp_path / "reviews"))
+    assert graph_json.read_reviews(spark, str(tmp_path / "reviews")).count() == 0
+    reports = spark.createDataFrame([(3, "T", "S\nline", ["f"], ["e"], 1, 0), (10, "U", "", [], [], 4, 0)], "community_id int, " + graph_json.REPORT)
+    graph_json.write_reports(reports, str(tmp_path / "reports"), "m")
+    assert {(r.community_id, r.title, r.summary, r.model) for r in graph_json.read_reports(spark, str(tmp_path / "reports")).collect()} == {(3, "T", "S\nline", "m"), (10, "U", "", "m")}
+    entities = spark.createDataFrame([(1, "e1", "Model", "A", "p"), (0, "e0", "Task", "B", "p")], "seq long, entity_id string, entity_type string, name string, source_paper_id string")
+    triples = spark.createDataFrame([(5, "t", "USES", "e1", "e0")], "seq long, triple_id string, relation_type string, source_entity_id string, target_entity_id string")
+    graph_json.write_document(entities, triples, str(tmp_path / "graph"))
+    e, t = graph_json.read_graph(spark, str(tmp_path / "graph"))
+    assert [r.entity_id for r in e.orderBy("seq").collect()] == ["e0", "e1"] and t.count() == 1
+    text = "".join(p.read_text() for p in (tmp_path / "graph").glob("part-*"))
+    assert json.loads(text)["stats"] == {"total_entities": 2, "total_triples": 1, "entity_type_distribution": {"Model": 1, "Task": 1}, "relation_type_distribution": {"USES": 1}}
+
+
+RESTARTED = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from lattica.streaming import ingest
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+ingest.chunk_stream(spark.readStream.schema("seq long, paper_id string, full_text string").parquet({src!r}), {store!r}).awaitTermination()
+spark.stop()
+"""
+
+
+def test_stream_goes_on_in_another_process(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    schema, root = "seq long, paper_id string, full_text string", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.createDataFrame([(1, "p", "x" * 900)], schema).write.parquet(src)
+    ingest.chunk_stream(spark.readStream.schema(schema).parquet(src), store).awaitTermination()
+    spark.createDataFrame([(2, "q", "new text")], schema).write.mode("append").parquet(src)
+    subprocess.run([sys.executable, "-c", RESTARTED.format(root=root, src=src, store=store)], check=True, timeout=300, env={**os.environ, "PYTHONHASHSEED": "7", "PYTHONPATH": root})
+    assert sorted((r.batch, r.paper_id) for r in ingest.stored(spark, store).collect()) == [(0, "p"), (0, "p"), (1, "q")]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from lattica.plans import tables
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session)
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert tables.shared_dir(Session).startswith("file://") and Session.conf["spark.checkpoint.dir"]
+    with tables.scratch(spark):
+        frame = tables.cut(spark.range(3), "t")
+        path = frame.inputFiles()[0].replace("file://", "").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_stream(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
     schema = "seq long, paper_id string, full_text string"
