@@ -106,7 +106,7 @@ def test_repetition_is_judged_against_its_length():
     usual = [spam.measure(" ".join(f"word{(i * 7) % 61}" for i in range(n)), None)[3][0] for n in (40, 400)]
     assert usual[0] < 0.2 and usual[1] > 0.9
     stuffed = spam.measure("cheap essay best essay fast essay cheap best essay")[4][0]
-    assert stuffed[4] == 1.0 and stuffed[6] > 0 and stuffed[2] == 0.0
+    assert stuffed[4] > 0.8 and stuffed[6] > 0 and stuffed[2] == 0.0
 
 
 def spells(text, pieces, overlap):
