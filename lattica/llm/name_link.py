@@ -387,9 +387,9 @@ def _acronym(short: str, words: list[str]) -> bool:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(scope, human, name, where) to records; those of scopes marked human take people's names."""
+    """(scope, human, name, where) to records; those of scopes marked human take people's names. `bare` is the record of the name without its place."""
     for batch in batches:
-        rec, words, inits, forms, place = [], [], [], [], []
+        rec, bare, words, inits, forms, place = [], [], [], [], [], []
         keep = []
         for k, (scope, human, name, where) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
             w, i = person(name) if human else thing(name)
@@ -401,11 +401,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inits.append(i)
             forms.append([] if human else glued(name))
             place.append(p)
-            rec.append(md5("\x1f".join((scope, p or "", " ".join(w), " ".join(i), " ".join(forms[-1]))).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+            for ids, where_known in ((rec, p or ""), (bare, "")):
+                ids.append(md5("\x1f".join((scope, where_known, " ".join(w), " ".join(i), " ".join(forms[-1]))).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
         if keep:
             part = batch.take(pa.array(keep))
             strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec, pa.binary()), pa.array(words, strings), pa.array(inits, strings), pa.array(forms, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "words", "inits", "forms", "place"])
+            yield pa.RecordBatch.from_arrays([part.column("scope"), part.column("human"), part.column("name"), part.column("where"), pa.array(rec, pa.binary()), pa.array(bare, pa.binary()), pa.array(words, strings), pa.array(inits, strings), pa.array(forms, strings), pa.array(place, pa.string())], names=["scope", "human", "name", "where", "rec", "bare", "words", "inits", "forms", "place"])
 
 
 def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,7 +503,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         letters.append(c)
                         own.append(a == w or a in fulls)
         at = pa.array(src, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rec", "scope", "place")), pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], names=["rec", "scope", "place", "token", "letter", "own"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rec", "bare", "scope", "place")), pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], names=["rec", "bare", "scope", "place", "token", "letter", "own"])
 
 
 class _Record:
@@ -521,6 +522,12 @@ def _line() -> Column:
     return F.concat_ws("\x1e", F.array_join("words", " "), F.array_join("inits", " "), F.array_join("forms", " "), F.coalesce("place", F.lit("")), F.array_join("ws.token", " "), F.array_join(F.transform("ws.weight", lambda w: w.cast("string")), " "))
 
 
+def _placeless() -> Column:
+    """The line of a record as that of its name alone."""
+    part = F.split("line", "\x1e")
+    return F.concat_ws("\x1e", part[0], part[1], part[2], F.lit(""), part[4], part[5])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, _Record] = {}
 
@@ -542,15 +549,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 score = match_things((a.words, a.inits, a.forms), (b.words, b.inits, b.forms), a.weights, b.weights)
             keep.append(score >= THETA)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["ra", "rb", "pa", "pb"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["ra", "rb", "place"])
 
 
 def linked(names: DataFrame) -> DataFrame:
     """(scope, id, grp): from rows (scope, human, id, name, where), the group of each id; ids without a usable name are left out."""
     src = names.where(F.col("name").isNotNull() & F.col("id").isNotNull() & F.col("scope").isNotNull())
     spelt = src.select("scope", "human", "name", "where").distinct()
-    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec binary, words array<string>, inits array<string>, forms array<string>, place string"), "names")
-    records = cut(parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("scope", "human", "words", "inits", "forms", "place"))), "records")
+    parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec binary, bare binary, words array<string>, inits array<string>, forms array<string>, place string"), "names")
+    records = cut(parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("bare", "scope", "human", "words", "inits", "forms", "place"))), "records")
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
     # Forms without gaps are compared like words, so that a typo in one does not part it. Within one place the words
@@ -560,9 +567,10 @@ def linked(names: DataFrame) -> DataFrame:
     similar = cut(variants(wide.unionByName(local)), "variants")
     full = cut(_weighed(records, each, tokens, similar), "weighed")
     pairs = cut(_candidates(full, similar), "pairs")
-    a, b = (full.select(F.col("rec").alias(f"r{s}"), "human" if s == "a" else F.col("place").alias("pb"), *([F.col("place").alias("pa")] if s == "a" else []), F.col("line").alias(s)) for s in "ab")
-    checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "pa", "pb", "human", "a", "b")
-    links = cut(checked.mapInArrow(_verify, "ra binary, rb binary, pa string, pb string"), "links")
+    lines = full.select("rec", "human", "place", "line").unionByName(full.where("human AND place IS NOT NULL").select(F.col("bare").alias("rec"), "human", F.lit(None).cast("string").alias("place"), _placeless().alias("line"))).dropDuplicates(["rec"])
+    a, b = lines.select(F.col("rec").alias("ra"), "human", "place", F.col("line").alias("a")), lines.select(F.col("rec").alias("rb"), F.col("line").alias("b"))
+    checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "place", "human", "a", "b")
+    links = cut(checked.mapInArrow(_verify, "ra binary, rb binary, place string"), "links")
     return _groups(src, parsed, full, links)
 
 
@@ -583,25 +591,27 @@ def _weighed(records: DataFrame, each: DataFrame, tokens: DataFrame, similar: Da
     weights = tokens.join(around, ["scope", "token"], "left").join(total, "scope").select("scope", "token", weight.alias("weight"))
     words = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
     heavy = F.transform(F.filter("ws", lambda x: x["weight"] >= F.col("ws")[0]["weight"]), lambda x: x["token"])
-    return records.join(words, "rec").select("rec", "scope", "human", "place", "words", "inits", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), _line().alias("line"))
+    return records.join(words, "rec").select("rec", "bare", "scope", "human", "place", "words", "inits", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), _line().alias("line"))
 
 
 def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
-    """(ra, rb): pairs of records that verification may accept, each once.
+    """(ra, rb): pairs of records that verification may accept, each once: of one place, or of names without their places.
 
     Every record asks with some keys and answers to others; keys are hashed, as verification settles what a collision brings together.
+    A record of unknown place asks names, not records, so that a name that many places have is compared once.
     """
     other = similar.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as"))
-    people = full.where("human").select("rec", "scope", "place", "words", "inits")
+    people = full.where("human").select("rec", "bare", "scope", "place", "words", "inits")
     words = people.select("rec", "scope", F.when(F.col("place").isNotNull(), _at()).alias("near"), F.explode(F.array_distinct("words")).alias("token"))
     spots = words.select("rec", "token", F.explode(F.array_compact(F.array("scope", "near"))).alias("at"))
     alts = spots.join(other, ["at", "token"]).groupBy("rec").agg(F.collect_set(F.struct("token", "as")).alias("alts"))
-    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, scope string, place string, token string, letter string, own boolean"), "keys")
-    # Persons meet in one place, or anywhere if one's place is unknown.
+    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, bare binary, scope string, place string, token string, letter string, own boolean"), "keys")
+    # Persons meet in one place, or as names if one's place is unknown.
     key = lambda place: F.xxhash64("scope", "token", "letter", place)
     nowhere = F.lit("\x1f")
     asking = keys.select("rec", key(F.coalesce("place", nowhere)).alias("k"))
-    answering = keys.where("own").select("rec", F.explode(F.array_distinct(F.array(key(F.coalesce("place", nowhere)), key(nowhere)))).alias("k"))
+    answering = keys.where("own AND place IS NOT NULL").select("rec", key(F.col("place")).alias("k"))
+    answering = answering.unionByName(keys.where("own").select(F.col("bare").alias("rec"), key(nowhere).alias("k")).distinct())
     things = full.where("NOT human")
     heads = things.select("rec", "scope", F.explode("heavy").alias("token"))
     heads = heads.unionByName(heads.join(other.withColumnRenamed("at", "scope"), ["scope", "token"]).select("rec", "scope", F.col("as").alias("token")))
@@ -614,16 +624,22 @@ def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
 def _groups(src: DataFrame, parsed: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
     """(scope, id, grp) from the links between records."""
     # Things have no place: for them every record is of unknown place and all links hold.
-    firm = links.where("pa IS NOT NULL AND pb IS NOT NULL").select("ra", "rb")
-    loose = links.where("pa IS NULL OR pb IS NULL").select(F.when(F.col("pa").isNull(), F.col("ra")).otherwise(F.col("rb")).alias("open"), F.when(F.col("pa").isNull(), F.col("rb")).otherwise(F.col("ra")).alias("to"), "pa", "pb")
+    firm = links.where("place IS NOT NULL").select("ra", "rb")
+    loose = links.where("place IS NULL").select("ra", "rb")
+    unplaced = full.where("place IS NULL").select("rec")
+    # What each record of unknown place matches: names, its own included where places have it.
+    both = loose.unionByName(loose.select(F.col("rb").alias("ra"), F.col("ra").alias("rb"))).unionByName(unplaced.select(F.col("rec").alias("ra"), F.col("rec").alias("rb")))
+    asked = cut(both.join(unplaced.withColumnRenamed("rec", "ra"), "ra", "left_semi"), "asked")
+    placed = full.where("human AND place IS NOT NULL").select("rec", "bare")
+    torn = cut(asked.join(placed.select(F.col("bare").alias("rb")).distinct(), "rb", "left_semi").select(F.col("ra").alias("open"), "rb"), "torn")
     # Records of unknown place that match no place are linked among themselves.
-    torn = loose.where("pa IS NOT NULL OR pb IS NOT NULL").select("open", "to").distinct()
-    free = full.where("place IS NULL").select("rec").join(torn.select(F.col("open").alias("rec")), "rec", "left_anti")
-    among = loose.where("pa IS NULL AND pb IS NULL").select(F.col("open").alias("ra"), F.col("to").alias("rb"))
-    among = among.join(free.withColumnRenamed("rec", "ra"), "ra", "left_semi").join(free.withColumnRenamed("rec", "rb"), "rb", "left_semi")
-    single = full.where("place IS NOT NULL").select("rec").unionByName(free).select(F.col("rec").alias("ra"), F.col("rec").alias("rb"))
+    free = cut(unplaced.join(torn.select(F.col("open").alias("rec")), "rec", "left_anti"), "free")
+    among = asked.join(free.withColumnRenamed("rec", "ra"), "ra", "left_semi").join(free.withColumnRenamed("rec", "rb"), "rb", "left_semi").select("ra", "rb")
+    single = placed.select(F.col("rec").alias("ra"), F.col("rec").alias("rb"))
     groups = cut(components(firm.unionByName(among).unionByName(single)), "groups")
-    attach = torn.join(groups.withColumnRenamed("node", "to"), "to").groupBy("open").agg(F.min("component").alias("grp"), F.max("component").alias("other"))
+    # Of a name, the first and the last of the groups that its places give it; one group only is no doubt.
+    held = placed.join(groups.withColumnRenamed("node", "rec"), "rec").groupBy(F.col("bare").alias("rb")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    attach = torn.join(held, "rb").groupBy("open").agg(F.min("low").alias("grp"), F.max("high").alias("other"))
     one = attach.where(F.col("grp") == F.col("other")).select(F.col("open").alias("rec"), "grp")
     alone = attach.where(F.col("grp") != F.col("other")).select(F.col("open").alias("rec"), F.col("open").alias("grp"))
     of_record = groups.select(F.col("node").alias("rec"), F.col("component").alias("grp")).unionByName(one).unionByName(alone)
