@@ -14,7 +14,7 @@ from lattica.operators.extract import PROMPTS, filled
 from lattica.plans.tables import cut
 
 #: A level of moves ends when two rounds raise modularity by less than this, and detection when a level does.
-LEAST_GAIN = 1e-4
+LEAST_GAIN = 1e-3
 
 
 def undirected(links: DataFrame) -> DataFrame:
