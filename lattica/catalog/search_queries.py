@@ -124,6 +124,57 @@ def resolution_stats(spark, root):
     return resolve.statistics(_aliases(spark, root, v), v.select(status.alias("status")))
 
 
+_RESOLVED = """resolved AS (SELECT entity_id, name, entity_type, min(entity_id) OVER (PARTITION BY entity_type) AS match_id, CASE WHEN coalesce(community_id, -1) < 0 THEN 'new' WHEN community_id % 2 = 0 THEN 'embedding' ELSE 'review' END AS how FROM nodes WHERE name IS NOT NULL)"""
+
+
+def _stand_in(spark, root):
+    """(vertices, resolved): decisions stand in for an embedder's here, by the community's parity, each for the first entity of the type."""
+    v = vertices(spark, root, "entity_type", "name", "community_id").where("name IS NOT NULL")
+    first = v.groupBy("entity_type").agg(F.min("entity_id").alias("match_id"))
+    how = F.when(F.coalesce("community_id", F.lit(-1)) < 0, "new").when(F.col("community_id") % 2 == 0, "embedding").otherwise("review")
+    return v, v.join(first, "entity_type").select("entity_id", how.alias("how"), "match_id", F.lit(0.8).alias("similarity"))
+
+
+@query(f"WITH {NODES_SQL}, {_RESOLVED} SELECT entity_type, match_id AS canonical_entity_id, {norm_sql('name')} AS alias, 'auto' AS source FROM resolved WHERE how = 'embedding' GROUP BY ALL")
+def alias_rows(spark, root):
+    """The aliases that merges by vector leave, each once."""
+    v, done = _stand_in(spark, root)
+    none = spark.createDataFrame([], "alias_text string, canonical_entity_id string")
+    from lattica.functions.text import normalized_name
+
+    made = resolve.new_aliases(done, v, none)
+    return made.select("entity_type", "canonical_entity_id", normalized_name(F.col("alias_text")).alias("alias"), "source")
+
+
+@query(f"""WITH {NODES_SQL}, {_RESOLVED} SELECT entity_id AS new_entity_id, match_id AS candidate_entity_id, substring(sha256(entity_id || '|' || match_id), 1, 12) AS review_id, CASE WHEN name < 'M' THEN 'merged' WHEN name < 'T' THEN 'rejected' ELSE 'pending' END AS status
+FROM resolved WHERE how = 'review'""")
+def review_settle(spark, root):
+    """The review queue after verdicts on the names up to T."""
+    v, done = _stand_in(spark, root)
+    queue = resolve.review_rows(done, v, v)
+    verdicts = queue.where("new_entity_name < 'T'").select("review_id", (F.col("new_entity_name") < "M").alias("merge"))
+    return resolve.settle(queue, verdicts)[0].select("new_entity_id", "candidate_entity_id", "review_id", "status")
+
+
+@query(f"""WITH m AS (SELECT quantile_disc(seq, 0.5) AS m FROM entities), o AS (SELECT * FROM entities, m WHERE entity_id IS NOT NULL AND seq <= m QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY seq DESC) = 1),
+n AS (SELECT * FROM entities, m WHERE entity_id IS NOT NULL AND seq > m QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY seq DESC) = 1),
+ex AS (SELECT entity_type, {norm_sql("name")} AS norm, arg_min(entity_id, seq) AS match_id FROM o WHERE name IS NOT NULL GROUP BY ALL),
+t AS (SELECT entity_id AS id, name, description, seq, false AS late FROM o UNION ALL SELECT coalesce(match_id, entity_id), name, description, seq, true FROM n LEFT JOIN ex ON ex.entity_type = n.entity_type AND ex.norm = {norm_sql("n.name")})
+SELECT id AS entity_id, arg_min(name, {{'l': late, 's': seq}}) AS name, arg_min(description, {{'n': -length(description), 'l': late, 's': seq}}) AS description FROM t GROUP BY 1""")
+def graph_add(spark, root):
+    """The later half of the entities added to the earlier half, known names merged; the embedder knows nothing here."""
+    import numpy as np
+
+    from lattica.engine import Engine
+
+    e = table(spark, root, "entities")
+    middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)").cast("long").alias("m"))  # one row
+    split = e.crossJoin(F.broadcast(middle))
+    none = spark.createDataFrame([], "seq long, paper_id string, chunk_id string, content string, section_title string, full_text string")
+    engine = Engine(spark, none, none, split.where("seq <= m").drop("m"), table(spark, root, "triples"), embedder=lambda texts: np.zeros((len(texts), 4), np.float32))
+    return engine.add(split.where("seq > m").drop("m"), table(spark, root, "triples"))[0].vertices.select("entity_id", "name", "description")
+
+
 # Questions
 
 QUESTIONS = [

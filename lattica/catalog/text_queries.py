@@ -119,6 +119,31 @@ def paper_key(spark, root):
     return table(spark, root, "papers", "seq", "title").where("title IS NOT NULL").select("seq", structure.paper_key(F.col("title")).alias("paper_key"))
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+
+
+@query(f"SELECT seq, coalesce(nullif(trim(title, {_WHITE}), ''), paper_id) AS title FROM papers WHERE paper_id IS NOT NULL")
+def title_pick(spark, root):
+    """A paper's own title, else the name of its file."""
+    p = table(spark, root, "papers", "seq", "paper_id", "title").where("paper_id IS NOT NULL")
+    return p.select("seq", structure.title(F.col("title"), F.concat("paper_id", F.lit(".pdf"))).alias("title"))
+
+
+@query("SELECT label, arg_min(lower(replace(title, ' ', '_'))[1:50], seq) AS paper_id FROM (SELECT seq, title, left(title, 50) AS label FROM papers WHERE title IS NOT NULL AND NOT contains(title, '.')) WHERE label < 'M' GROUP BY 1")
+def paper_scope(spark, root):
+    """The papers of the files whose labels are picked; titles stand for file names here, the picked ones begin before M."""
+    p = table(spark, root, "papers", "seq", "title").where("title IS NOT NULL AND NOT contains(title, '.')").select(F.concat("title", F.lit(".pdf")).alias("filename"), F.col("seq").alias("at"))
+    return structure.scope(p).where("label < 'M'")
+
+
+@query("""WITH c1 AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) = 1)
+SELECT chunk_id, CASE WHEN extraction_status <> 'failed' OR content IS NULL THEN extraction_status WHEN length(content) > 500 THEN 'success' ELSE 'failed' END AS extraction_status FROM c1""")
+def chunk_retry(spark, root):
+    """Failed chunks tried once more; the long ones succeed here."""
+    c = graph.latest(table(spark, root, "chunks", "seq", "chunk_id", "content", "extraction_status").where("chunk_id IS NOT NULL"), "chunk_id")
+    return incremental.retry(c, c.where("extraction_status = 'failed'").select("chunk_id"), lambda rows: rows.where(F.length("content") > 500)).select("chunk_id", "extraction_status")
+
+
 @query("""SELECT paper_id, count(*) AS n, count(DISTINCT sha256(content)) AS hashes, count(*) FILTER (chunk_hash IS NOT NULL AND lower(chunk_hash) <> sha256(content)) AS stale FROM chunks WHERE content IS NOT NULL GROUP BY 1""")
 def chunk_hashes(spark, root):
     h = incremental.content_hash(F.col("content"))

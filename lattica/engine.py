@@ -101,9 +101,9 @@ class Engine:
         old = cut(embed(self.vertices), "old")
         done = cut(resolve.resolve(embed(new), old, aliases), "resolved")
         moved = cut(done.where(F.col("how").isin("exact", "alias", "embedding") & (F.col("entity_id") != F.col("match_id"))).select("entity_id", F.col("match_id").alias("primary_id")), "moved")
-        both = self.vertices.unionByName(new, allowMissingColumns=True)
-        target = F.coalesce("primary_id", "entity_id")
-        vertices = cut(graph.merged_nodes(both.join(moved, "entity_id", "left").withColumn("entity_id", target).drop("primary_id"), self.vertices.select("entity_id")), "vertices")
+        entering = new.join(moved, "entity_id", "left").withColumn("entity_id", F.coalesce("primary_id", "entity_id")).drop("primary_id").withColumn("_late", F.lit(True))
+        both = self.vertices.withColumn("_late", F.lit(False)).unionByName(entering, allowMissingColumns=True)
+        vertices = cut(graph.merged_nodes(both, "_late"), "vertices")
         fresh = triples
         for end in ("source_entity_id", "target_entity_id"):
             fresh = fresh.join(moved.withColumnRenamed("entity_id", end), end, "left").withColumn(end, F.coalesce("primary_id", end)).drop("primary_id")

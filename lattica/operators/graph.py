@@ -123,24 +123,24 @@ def delete_entities(vertices: DataFrame, links: DataFrame, doomed: DataFrame) ->
     return kept, left
 
 
-def merged_nodes(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row per entity_id of rows that stand for it: name, type and place of the stored row (else the first), the longest description,
-    the distinct chunk and paper ids, and of each property its distinct values in order of arrival, joined by '; '."""
-    marked = rows.join(stored.select("entity_id", F.lit(True).alias("_old")).distinct(), "entity_id", "left")
-    order = F.struct(F.col("_old").isNull(), "seq")
-    special = {"entity_id", "description", "properties", "source_chunk_ids", "source_paper_ids", "_old"}
-    keep = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rows.columns if c not in special]
+def merged_nodes(rows: DataFrame, late: str) -> DataFrame:
+    """One row per entity_id of rows that stand for it: name, type and place of the first row, the longest description, the distinct chunk
+    and paper ids, and of each property its distinct values in order of arrival, joined by '; '. Rows marked `late` come after the others."""
+    columns = [c for c in rows.columns if c != late]
+    order = F.struct(F.col(late), "seq")
+    special = {"entity_id", "description", "properties", "source_chunk_ids", "source_paper_ids"}
+    keep = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns if c not in special]
     ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
-    lists = [ids(c) for c in ("source_chunk_ids", "source_paper_ids") if c in rows.columns]
-    longest = [F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description")] if "description" in rows.columns else []
-    head = marked.groupBy("entity_id").agg(*keep, *longest, *lists)
-    if "properties" not in rows.columns:
-        return head.select(*rows.columns)
-    pairs = rows.select("entity_id", "seq", F.explode("properties").alias("k", "v")).where("v IS NOT NULL AND v <> ''")
-    first = pairs.groupBy("entity_id", "k", "v").agg(F.min("seq").alias("at"))
+    lists = [ids(c) for c in ("source_chunk_ids", "source_paper_ids") if c in columns]
+    longest = [F.min_by("description", F.when(F.col("description").isNotNull(), F.struct(-F.length("description"), order))).alias("description")] if "description" in columns else []
+    head = rows.groupBy("entity_id").agg(*keep, *longest, *lists)
+    if "properties" not in columns:
+        return head.select(*columns)
+    pairs = rows.select("entity_id", order.alias("at"), F.explode("properties").alias("k", "v")).where("v IS NOT NULL AND v <> ''")
+    first = pairs.groupBy("entity_id", "k", "v").agg(F.min("at").alias("at"))
     values = first.groupBy("entity_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), "; ").alias("v"))
     props = values.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    return head.join(props, "entity_id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>"))).select(*rows.columns)
+    return head.join(props, "entity_id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>"))).select(*columns)
 
 
 def merge_attributes(entities: DataFrame, group: Column) -> DataFrame:

@@ -32,9 +32,9 @@ def set_status(chunks: DataFrame, changes: DataFrame, key: str = "chunk_id") ->
     return chunks.join(new, key, "left").withColumn("extraction_status", F.when(F.col("content").isNotNull(), F.coalesce("_new", "extraction_status")).otherwise(F.col("extraction_status"))).drop("_new")
 
 
-def retry(chunks: DataFrame, chunk_ids: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`chunks` after another try of the named ones: `work` takes their rows and returns the (chunk_id) that succeeded; the others have failed."""
-    asked = chunks.where(F.col("chunk_id").isin(chunk_ids) & F.col("content").isNotNull())
+def retry(chunks: DataFrame, ids: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`chunks` after another try of those of `ids` (chunk_id): `work` takes their rows and returns the (chunk_id) that succeeded; the others have failed."""
+    asked = chunks.where(F.col("content").isNotNull()).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
     good = work(asked).select("chunk_id").distinct().withColumn("ok", F.lit(True))
     changes = asked.select("chunk_id").distinct().join(good, "chunk_id", "left").select("chunk_id", F.when(F.col("ok"), "success").otherwise("failed").alias("status"))
     return set_status(chunks, changes)

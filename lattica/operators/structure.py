@@ -73,12 +73,11 @@ def title(own: Column, filename: Column) -> Column:
     return F.coalesce(F.nullif(strip(own), F.lit("")), F.regexp_replace(filename, r"\.[^.]*$", ""))
 
 
-def scope(filenames: DataFrame, chosen: Column) -> DataFrame:
-    """(label, paper_id) of the files (filename, at) whose labels are chosen: a label is a name's first characters, the latest file keeps it."""
+def scope(filenames: DataFrame) -> DataFrame:
+    """(label, paper_id) to pick papers by, from files (filename, at): a label is a name's first characters, the earliest file of a label keeps it."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
     named = filenames.select(F.substring(stem, 1, 50).alias("label"), paper_key(F.col("filename")).alias("paper_id"), "at")
-    last = named.groupBy("label").agg(F.min_by("paper_id", "at").alias("paper_id"))
-    return last.where(F.array_contains(chosen, F.col("label")))
+    return named.groupBy("label").agg(F.min_by("paper_id", "at").alias("paper_id"))
 
 
 def paper_key(filename: Column) -> Column:

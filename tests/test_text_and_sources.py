@@ -165,10 +165,10 @@ def test_pdf_files(spark, tmp_path):
 
 def test_scope_and_retry(spark):
     files = spark.createDataFrame([("My Paper.pdf", 2), ("x" * 60 + ".pdf", 1), ("Other.pdf", 3)], "filename string, at int")
-    got = {r.label: r.paper_id for r in structure.scope(files, F.array(F.lit("My Paper"), F.lit("x" * 50))).collect()}
-    assert got == {"My Paper": "my_paper", "x" * 50: "x" * 50}
+    got = {r.label: r.paper_id for r in structure.scope(files).collect()}
+    assert got == {"My Paper": "my_paper", "x" * 50: "x" * 50, "Other": "other"}
     chunks = spark.createDataFrame([("a", "text", "failed"), ("b", "text", "failed"), ("c", None, "failed"), ("d", "text", "pending")], "chunk_id string, content string, extraction_status string")
-    after = incremental.retry(chunks, ["a", "b", "c"], lambda rows: rows.where("chunk_id = 'a'"))
+    after = incremental.retry(chunks, chunks.where("chunk_id <> 'd'").select("chunk_id"), lambda rows: rows.where("chunk_id = 'a'"))
     assert {r.chunk_id: r.extraction_status for r in after.collect()} == {"a": "success", "b": "failed", "c": "failed", "d": "pending"}
 
 
