@@ -14,6 +14,10 @@ from lattica.functions.text import cosine, normalized_name
 from lattica.plans.tables import cut
 
 
+#: So many of a name's rarest pairs of neighbouring characters bring it together with others.
+RARE_GRAMS = 12
+
+
 @F.pandas_udf(T.DoubleType())
 def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two strings, in argument order; 0 for empty ones."""
@@ -38,17 +42,32 @@ def by_alias(new: DataFrame, aliases: DataFrame, existing: DataFrame) -> DataFra
     return new.withColumn("norm", normalized_name(F.col("name"))).join(first, ["entity_type", "norm"]).select("entity_id", "match_id")
 
 
-def by_vector(new: DataFrame, existing: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+def _rare_grams(names: DataFrame, most: Column) -> DataFrame:
+    """(entity_type, norm, gram): of each distinct name (entity_type, norm) so many of its rarest padded grams that another name of the type has too."""
+    ends = names.select("entity_type", "norm", F.explode(_grams(F.col("norm"), True)).alias("gram"))
+    spread = ends.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ends.join(spread, ["entity_type", "gram"]).groupBy("entity_type", "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    return ranked.select("entity_type", "norm", F.explode(F.slice("g", F.lit(1), most)).alias("x")).where("x.n > 1").select("entity_type", "norm", F.col("x.gram").alias("gram"))
+
+
+def by_vector(new: DataFrame, existing: DataFrame, most: int = MAX_CANDIDATES, grams: int = RARE_GRAMS) -> DataFrame:
     """(entity_id, match_id, similarity): the nearest of the roughly similar entities of the type.
 
-    Both frames have entity_id, entity_type, name, embedding, seq. The type is the join key and the length bound
-    drops pairs before any Python; of the rough matches the `most` best by ratio go on to the cosine.
+    Both frames have entity_id, entity_type, name, embedding, seq. Names are compared once each, if one of their `grams` rarest pairs of
+    neighbouring characters is the same (most names have no more pairs than that); of the rough matches the `most` best by ratio go on to the
+    cosine. Of equal names only the first `most` can be among these.
     """
     a = new.select(F.col("entity_id").alias("a_id"), "entity_type", normalized_name(F.col("name")).alias("a_norm"), F.col("embedding").alias("a_vec"))
     b = existing.select(F.col("entity_id").alias("b_id"), "entity_type", normalized_name(F.col("name")).alias("b_norm"), F.col("embedding").alias("b_vec"), "seq")
-    pairs = a.join(b, "entity_type").where((F.col("a_id") != F.col("b_id")) & may_reach(F.col("a_norm"), F.col("b_norm"), ROUGH_RATIO))
-    rough = pairs.withColumn("ratio", char_ratio("a_norm", "b_norm")).where(F.col("ratio") >= ROUGH_RATIO)
-    some = rough.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("ratio"), "seq"))).where(F.col("k") <= most)
+    names = a.select("entity_type", F.col("a_norm").alias("norm"), F.lit(True).alias("new")).unionByName(b.select("entity_type", F.col("b_norm").alias("norm"), F.lit(False).alias("new"))).where("norm IS NOT NULL")
+    sides = cut(names.groupBy("entity_type", "norm").agg(F.bool_or("new").alias("asks"), F.bool_or(~F.col("new")).alias("answers")), "names")
+    rare = cut(_rare_grams(sides.select("entity_type", "norm"), F.lit(grams)).join(sides, ["entity_type", "norm"]), "grams")
+    asks, answers = rare.where("asks").select("entity_type", "gram", F.col("norm").alias("a_norm")), rare.where("answers").select("entity_type", "gram", F.col("norm").alias("b_norm"))
+    met = asks.join(answers, ["entity_type", "gram"]).where(may_reach(F.col("a_norm"), F.col("b_norm"), ROUGH_RATIO)).select("entity_type", "a_norm", "b_norm").distinct()
+    rough = met.withColumn("ratio", char_ratio("a_norm", "b_norm")).where(F.col("ratio") >= ROUGH_RATIO)
+    first = b.withColumn("k", F.row_number().over(Window.partitionBy("entity_type", "b_norm").orderBy("seq", "b_id"))).where(F.col("k") <= most + 1).drop("k")
+    pairs = a.join(rough, ["entity_type", "a_norm"]).join(first, ["entity_type", "b_norm"]).where("a_id <> b_id")
+    some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("ratio"), "seq"))).where(F.col("k") <= most)
     scored = some.withColumn("similarity", cosine(F.col("a_vec"), F.col("b_vec")))
     best = scored.groupBy("a_id").agg(F.max_by(F.struct("b_id", "similarity"), F.struct("similarity", -F.col("seq"))).alias("m"))
     return best.select(F.col("a_id").alias("entity_id"), F.col("m.b_id").alias("match_id"), F.col("m.similarity").alias("similarity"))
@@ -113,11 +132,7 @@ def _blocked(names: DataFrame, least: float) -> DataFrame:
     name's length, and one gram more must be shared. A contained name meets its container by its rarest gram.
     """
     part = max(4 * (1 - least) / (2 - least), 2 * (1 - least) / least)
-    ends = names.select("entity_type", "norm", F.explode(_grams(F.col("norm"), True)).alias("gram"))
-    spread = ends.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
-    most = F.floor(F.length("norm") * F.lit(part) + 1e-9).cast("int") + 1
-    ranked = ends.join(spread, ["entity_type", "gram"]).groupBy("entity_type", "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    rare = ranked.select("entity_type", "norm", F.explode(F.slice("g", F.lit(1), most)).alias("x")).where("x.n > 1").select("entity_type", "norm", F.col("x.gram").alias("gram"))
+    rare = _rare_grams(names, F.floor(F.length("norm") * F.lit(part) + 1e-9).cast("int") + 1)
     x, y = rare.withColumnRenamed("norm", "a"), rare.withColumnRenamed("norm", "b")
     close = x.join(y, ["entity_type", "gram"]).where((F.col("a") < F.col("b")) & may_reach(F.col("a"), F.col("b"), least)).select("entity_type", "a", "b")
     inner = names.where("norm <> ''").select("entity_type", "norm", F.explode(_grams(F.col("norm"), False)).alias("gram"))

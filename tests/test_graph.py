@@ -216,6 +216,32 @@ def test_resolution(spark):
     assert after.first().status == "merged" and made.first().canonical_entity_id == "o2"
 
 
+def test_rough_candidates_equal_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from lattica.operators import vectors
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(40)]
+    names = [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(150)]
+    rows = [(f"e{i:03d}", "Model" if i % 3 else "Task", n, i) for i, n in enumerate(names)]
+    df = vectors.embed(spark.createDataFrame(rows, "entity_id string, entity_type string, name string, seq long"), "name")
+    got = {r.entity_id: (r.match_id, round(r.similarity, 5)) for r in resolve.by_vector(df.where("seq >= 75"), df.where("seq < 75")).collect()}
+    made = vectors.HashingEmbedder()(names).astype(float)
+    total = hits = 0
+    for i, t, n, k in rows[75:]:
+        norm = n.replace(" ", "")
+        ratios = sorted(((-SequenceMatcher(None, norm, m.replace(" ", "")).ratio(), j) for _, t2, m, j in rows[:75] if t2 == t))
+        best = max(((float(made[k] @ made[j]) / (np.linalg.norm(made[k]) * np.linalg.norm(made[j])), -j) for r, j in ratios[:20] if -r >= 0.4), default=None)
+        if best and best[0] >= 0.75:
+            total += 1
+            hits += got.get(i) == (f"e{-best[1]:03d}", round(best[0], 5))
+    assert total > 10 and hits == total
+
+
 def test_char_ratio_keeps_argument_order(spark):
     r = spark.createDataFrame([("tide", "diet")], "a string, b string").select(resolve.char_ratio("a", "b").alias("x"), resolve.char_ratio("b", "a").alias("y")).first()
     assert (r.x, r.y) == (0.25, 0.5)
