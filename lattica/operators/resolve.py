@@ -82,7 +82,8 @@ def resolve(new: DataFrame, existing: DataFrame, aliases: DataFrame, most: int =
     e = exact(new, existing).withColumn("how", F.lit("exact")).withColumn("similarity", F.lit(1.0))
     rest = new.join(e, "entity_id", "left_anti")
     a = by_alias(rest, aliases, existing).withColumn("how", F.lit("alias")).withColumn("similarity", F.lit(1.0))
-    rest = rest.join(a, "entity_id", "left_anti")
+    # Written, as its names are read several times.
+    rest = cut(rest.join(a, "entity_id", "left_anti"), "rest")
     v = rest.select("entity_id").join(by_vector(rest, existing, most), "entity_id", "left")
     v = v.select("entity_id", F.coalesce(F.when(F.col("similarity") >= AUTO_MERGE, "embedding"), decision(F.coalesce("similarity", F.lit(0.0)))).alias("how"), "match_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     cols = ["entity_id", "how", "match_id", "similarity"]
