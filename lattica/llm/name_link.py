@@ -44,10 +44,12 @@ from lattica.plans.components import components
 from lattica.plans.tables import cut
 
 THETA = 0.6
-GRAM = 3
+GRAM = 4
 #: A swap touches q + 1 grams, any other edit at most q.
 DESTROYED = GRAM + 1
 LEAST_LETTERS = 4
+#: Places of grams that are joined together, more than two edits can move them.
+STRETCH = 5
 #: Counters of how frequent grams are.
 COUNTERS = 1 << 16
 #: Words of so many letters may differ by more than one edit.
@@ -418,7 +420,7 @@ def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(token: str) -> list[tuple[str, int]]:
-    padded = f"^^{token}$$"
+    padded = "^" * (GRAM - 1) + token + "$" * (GRAM - 1)
     return [(padded[i : i + GRAM], i) for i in range(len(token) + GRAM - 1)]
 
 
@@ -465,26 +467,28 @@ def variants(tokens: DataFrame) -> DataFrame:
         counts[r["slot"]] = r["n"]
     found = rows.mapInArrow(_prefix(counts), "scope string, token string, edits int, gram string, pos int")
     prefix = cut(found.select("scope", "token", "edits", F.xxhash64("scope", "gram").alias("k"), "pos"), "prefix")
-    # An edit moves the grams behind it by one place at most. Hashed keys: what a collision brings together, the distance parts.
-    left = prefix.select("scope", "k", F.explode(F.sequence(F.col("pos") - F.col("edits"), F.col("pos") + F.col("edits"))).alias("pos"), F.col("token").alias("a"), "edits")
-    right = prefix.select("k", "pos", F.col("token").alias("b"))
+    # An edit moves the grams behind it by one place at most: places meet in stretches, each word in those its edits may reach.
+    # Hashed keys: what a collision brings together, the distance parts.
+    reach = F.array_distinct(F.array(*(F.floor((F.col("pos") + d * F.col("edits")) / STRETCH) for d in (-1, 1))))
+    left = prefix.select("scope", "k", F.explode(reach).alias("at"), F.col("pos").alias("pa"), F.col("token").alias("a"), "edits")
+    right = prefix.select("k", F.floor(F.col("pos") / STRETCH).alias("at"), F.col("pos").alias("pb"), F.col("token").alias("b"))
     shorter = F.least(F.length("a"), F.length("b"))
     # A swap is two of levenshtein's edits.
     two = (F.col("edits") == 2) & (shorter >= LONG_LETTERS)
     close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.when(two, 2).otherwise(1)) & F.when(two, F.levenshtein("a", "b", 4) >= 0).otherwise(F.levenshtein("a", "b", 2) >= 0)
-    pairs = left.join(right, ["k", "pos"]).where(close).select("scope", "a", "b", "edits").distinct()
+    pairs = left.join(right, ["k", "at"]).where((F.abs(F.col("pa") - F.col("pb")) <= F.col("edits")) & close).select("scope", "a", "b", "edits").distinct()
     return pairs.mapInArrow(_near_words, "scope string, a string, b string")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec, token, letter, own): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it.
+    """(rec, bare, scope, place, keys): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it.
 
     Short forms of one name meet under the full name they stand for; own are the keys a record answers to.
     """
     names = {w: frozenset(y for y in STANDS if y != w and STANDS[w] & STANDS[y]) for w in STANDS}
     for batch in batches:
-        src, tokens, letters, own = [], [], [], []
-        for k, (words, inits, alts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "alts")), strict=True)):
+        tokens, letters, own, ends = [], [], [], [0]
+        for words, inits, alts in zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "alts")), strict=True):
             stands = {w: {w} for w in words}
             for x in alts or ():
                 stands[x["token"]].add(x["as"])
@@ -497,13 +501,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rest.add("")
                 fulls = [f"={f}" for f in STANDS.get(w, ())]
                 for a in (*s, *fulls):
-                    for c in rest:
-                        src.append(k)
-                        tokens.append(a)
-                        letters.append(c)
-                        own.append(a == w or a in fulls)
-        at = pa.array(src, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rec", "bare", "scope", "place")), pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], names=["rec", "bare", "scope", "place", "token", "letter", "own"])
+                    tokens += [a] * len(rest)
+                    letters += rest
+                    own += [a == w or a in fulls] * len(rest)
+            ends.append(len(tokens))
+        keys = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], ["token", "letter", "own"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rec", "bare", "scope", "place")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)], names=["rec", "bare", "scope", "place", "keys"])
 
 
 class _Record:
@@ -561,9 +564,9 @@ def linked(names: DataFrame) -> DataFrame:
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
     # Forms without gaps are compared like words, so that a typo in one does not part it. Within one place the words
-    # are few, so two edits are told from other words there.
+    # are few, so two edits are told from other words there, if these are long.
     wide = tokens.select("scope", "token").unionByName(records.select("scope", F.explode("forms").alias("token"))).distinct().withColumn("edits", F.lit(1))
-    local = records.where(F.col("human") & F.col("place").isNotNull()).select(_at().alias("scope"), F.explode("words").alias("token")).distinct().withColumn("edits", F.lit(2))
+    local = records.where(F.col("human") & F.col("place").isNotNull()).select(_at().alias("scope"), F.explode("words").alias("token")).where(F.length("token") >= LONG_LETTERS).distinct().withColumn("edits", F.lit(2))
     similar = cut(variants(wide.unionByName(local)), "variants")
     full = cut(_weighed(records, each, tokens, similar), "weighed")
     pairs = cut(_candidates(full, similar), "pairs")
@@ -605,7 +608,8 @@ def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
     words = people.select("rec", "scope", F.when(F.col("place").isNotNull(), _at()).alias("near"), F.explode(F.array_distinct("words")).alias("token"))
     spots = words.select("rec", "token", F.explode(F.array_compact(F.array("scope", "near"))).alias("at"))
     alts = spots.join(other, ["at", "token"]).groupBy("rec").agg(F.collect_set(F.struct("token", "as")).alias("alts"))
-    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, bare binary, scope string, place string, token string, letter string, own boolean"), "keys")
+    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, bare binary, scope string, place string, keys array<struct<token:string,letter:string,own:boolean>>"), "keys")
+    keys = keys.select("rec", "bare", "scope", "place", F.explode("keys").alias("x")).select("rec", "bare", "scope", "place", "x.token", "x.letter", "x.own")
     # Persons meet in one place, or as names if one's place is unknown.
     key = lambda place: F.xxhash64("scope", "token", "letter", place)
     nowhere = F.lit("\x1f")
