@@ -80,3 +80,15 @@ STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to
 CROSS_PAPER_WORDS = ["对比", "compare", "vs", "区别", "不同论文", "哪些论文", "多论文", "共同点", "分别讲", "三篇论文", "两篇论文"]
 EVIDENCE_ORDER = ["Method", "Model", "Dataset", "Metric", "Task", "Paper"]
 TYPE_LABELS_ZH = {"Paper": "论文", "Author": "作者", "Institution": "机构", "Method": "方法", "Task": "任务", "Dataset": "数据集", "Model": "模型", "Metric": "评价指标", "Result": "实验结果", "Domain": "领域"}
+
+#: Fixed headings and notices of contexts and answers.
+NO_DATA = "（知识图谱为空，暂无任何论文数据。请先上传并处理论文。）"
+KNOWN_PAPERS = "以下系统中已处理的论文（但未检索到与问题直接相关的内容）:"
+KNOWN_METHODS = "\n已知方法:"
+FROM_PAPER = "来自论文: "
+GLOBAL_THEMES = "=== 全局研究主题（社区摘要）==="
+LOCAL_HITS = "=== 局部检索结果 ==="
+GRAPH_CONTEXT = "=== 知识图谱信息 ==="
+CHUNK_CONTEXT = "=== 论文原文片段 ==="
+ANSWER_FAILED = "抱歉，生成回答时出错："
+STATISTICS_WORDS = ("统计", "实体", "关系")

@@ -5,16 +5,17 @@ Every step works on all questions at once, keyed by question_id. Prompts are bui
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.constants import KG_HOPS, TOP_K_CHUNKS
+from lattica.constants import ANSWER_FAILED, FROM_PAPER, GLOBAL_THEMES, KG_HOPS, KNOWN_METHODS, KNOWN_PAPERS, LOCAL_HITS, NO_DATA, STATISTICS_WORDS, TOP_K_CHUNKS
 from lattica.functions.text import cosine, json_span
 from lattica.operators import calls, extract, graph, retrieve
 from lattica.operators.calls import Generator, Policy
 from lattica.plans.tables import cut, maybe_broadcast
 
-EMPTY = "（知识图谱为空，暂无任何论文数据。请先上传并处理论文。）"
 NO_THEMES = "尚未生成社区摘要，请先生成后再问综述性问题。"
 COMPARISON = "struct<summary:string,details:array<struct<method:string,description:string,experiments:array<struct<paper:string,dataset:string,metric:string,result:string>>,advantage:string>>,missing_papers:array<string>>"
 
@@ -49,10 +50,10 @@ def nearest_chunks(questions: DataFrame, embedded: DataFrame, k: int = TOP_K_CHU
 def overview(vertices: DataFrame, methods: int = 20) -> DataFrame:
     """(overview): one row naming what there is, for questions nothing was found for."""
     lines = lambda rows, line, head: rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("t")).select(F.when(F.col("t") != "", F.concat(F.lit(head), "t")).alias("t"))
-    papers = lines(vertices.where("entity_type = 'Paper'"), F.concat(F.lit("  - "), "name"), "以下系统中已处理的论文（但未检索到与问题直接相关的内容）:\n").withColumnRenamed("t", "p")
+    papers = lines(vertices.where("entity_type = 'Paper'"), F.concat(F.lit("  - "), "name"), KNOWN_PAPERS + "\n").withColumnRenamed("t", "p")
     known = vertices.where("entity_type = 'Method'").orderBy("seq").limit(methods)
-    named = lines(known, F.concat(F.lit("  - "), "name", F.lit(" (来自论文: "), F.substring(F.coalesce("source_paper_id", F.lit("")), 1, 8), F.lit(")")), "\n已知方法:\n").withColumnRenamed("t", "m")
-    return papers.crossJoin(named).select(F.coalesce(F.when(F.col("p").isNotNull(), F.concat_ws("\n", "p", "m")), F.lit(EMPTY)).alias("overview"))
+    named = lines(known, F.concat(F.lit("  - "), "name", F.lit(f" ({FROM_PAPER}"), F.substring(F.coalesce("source_paper_id", F.lit("")), 1, 8), F.lit(")")), KNOWN_METHODS + "\n").withColumnRenamed("t", "m")
+    return papers.crossJoin(named).select(F.coalesce(F.when(F.col("p").isNotNull(), F.concat_ws("\n", "p", "m")), F.lit(NO_DATA)).alias("overview"))
 
 
 def largest_themes(reports: DataFrame, n: int = 3) -> DataFrame:
@@ -92,7 +93,7 @@ def local_prompts(asked: DataFrame, entities: DataFrame, triples: DataFrame, hit
     context = retrieve.fused(F.col("kg_text"), F.col("vector_text"), nothing)
     if themes is not None:
         both = both.crossJoin(F.broadcast(largest_themes(themes)))  # one row
-        context = F.when(F.col("themes").isNotNull(), F.concat(F.lit("=== 全局研究主题（社区摘要）===\n"), "themes", F.lit("\n\n=== 局部检索结果 ===\n"), context)).otherwise(context)
+        context = F.when(F.col("themes").isNotNull(), F.concat(F.lit(GLOBAL_THEMES + "\n"), "themes", F.lit(f"\n\n{LOCAL_HITS}\n"), context)).otherwise(context)
     fill = lambda name: extract.filled(extract.PROMPTS[name], context=context, question=F.col("question"), question_type=F.col("question_type"))
     return both.join(crosses, "question_id").select("question_id", "crosses", F.when(F.col("crosses"), fill("cross")).otherwise(fill("single")).alias("prompt"))
 
@@ -105,7 +106,7 @@ def answer_text(output, error, crosses):
     compared = F.from_json(span, f"answer {COMPARISON}")["answer"]
     laid_out = F.when(compared["summary"].isNotNull() | compared["details"].isNotNull(), extract.cross_paper_answer(compared))
     read = F.when(crosses, F.coalesce(laid_out, plain, span)).otherwise(F.coalesce(inner, F.lit("")))
-    return F.when(error.isNotNull(), F.concat(F.lit("抱歉，生成回答时出错："), error)).when(span.isNull(), output).otherwise(read)
+    return F.when(error.isNotNull(), F.concat(F.lit(ANSWER_FAILED), error)).when(span.isNull(), output).otherwise(read)
 
 
 def answers(prompts: DataFrame, generator: Generator, policy: Policy = Policy()) -> DataFrame:
@@ -116,7 +117,8 @@ def answers(prompts: DataFrame, generator: Generator, policy: Policy = Policy())
 
 def statistics_asked(question):
     """Whether a question asks for the graph's statistics, which need no generator."""
-    return F.contains(question, F.lit("统计")) & (F.contains(question, F.lit("实体")) | F.contains(question, F.lit("关系")))
+    asked, *of = STATISTICS_WORDS
+    return F.contains(question, F.lit(asked)) & reduce(lambda a, b: a | b, (F.contains(question, F.lit(w)) for w in of))
 
 
 def statistics_text(vertices: DataFrame, links: DataFrame) -> DataFrame:

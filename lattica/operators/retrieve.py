@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.constants import CROSS_PAPER_WORDS, PREVIEW_CHARS, QUESTION_KEYWORDS, STOPWORDS, SYNONYMS, TYPE_PRIORITY
+from lattica.constants import CHUNK_CONTEXT, CROSS_PAPER_WORDS, GRAPH_CONTEXT, PREVIEW_CHARS, QUESTION_KEYWORDS, STOPWORDS, SYNONYMS, TYPE_PRIORITY
 from lattica.functions.text import json_span
 from lattica.operators.calls import Generator, Policy, answered
 from lattica.operators.extract import PROMPTS, filled
@@ -105,8 +105,8 @@ def vector_text(hits: DataFrame, key: str) -> DataFrame:
 
 def fused(kg_text: Column, chunks: Column, overview: Column) -> Column:
     """Graph text and chunk text under their headings; the overview where there is neither."""
-    kg = F.when(F.coalesce(kg_text, F.lit("")) != "", F.concat(F.lit("=== 知识图谱信息 ===\n"), kg_text))
-    ch = F.when(F.coalesce(chunks, F.lit("")) != "", F.concat(F.lit("\n=== 论文原文片段 ===\n"), chunks))
+    kg = F.when(F.coalesce(kg_text, F.lit("")) != "", F.concat(F.lit(GRAPH_CONTEXT + "\n"), kg_text))
+    ch = F.when(F.coalesce(chunks, F.lit("")) != "", F.concat(F.lit(f"\n{CHUNK_CONTEXT}\n"), chunks))
     return F.when(kg.isNull() & ch.isNull(), overview).otherwise(F.concat_ws("\n", kg, ch))
 
 
