@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import best_record, bpe, format_dups, leaks, name_link, near_dups, scan_repair, spam, split_items, top_n
-from lattica.plans.tables import table
+from lattica.plans.tables import cut, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -121,7 +121,7 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_whole(spark: SparkSession, root: str) -> DataFrame:
     """The texts that the pieces spell when their overlaps are dropped, with the longest piece: a round trip."""
-    pieces = p7_pieces(spark, root).select(F.struct("kind", "seq").alias("key"), "piece", "content")
+    pieces = cut(p7_pieces(spark, root).select(F.struct("kind", "seq").alias("key"), "piece", "content"), "pieces")
     longest = pieces.groupBy("key").agg(F.max(F.length("content")).alias("longest"))
     return split_items.joined(pieces, OVERLAP).join(longest, "key").select("key.kind", "key.seq", "text", (F.col("longest") <= F.when(F.col("key.kind") == "chunk", CHUNK_LIMIT).otherwise(PAPER_LIMIT)).alias("within"))
 
