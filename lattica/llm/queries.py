@@ -175,7 +175,23 @@ _LONG = f"""cells AS (
     len(list_filter(map_values(properties), lambda x: x IS NOT NULL AND {_VALUE.format("x")})) FROM entities
   UNION ALL SELECT entity_id, seq, llm_model, extracted_at, 'source_chunk_ids', CAST(to_json(list_sort(list_distinct(list_transform(list_filter(source_chunk_ids, lambda x: x IS NOT NULL AND {_VALUE.format("x")}), lambda x: {_squeeze("x")})))) AS VARCHAR),
     len(list_distinct(list_transform(list_filter(source_chunk_ids, lambda x: x IS NOT NULL AND {_VALUE.format("x")}), lambda x: {_squeeze("x")}))) FROM entities)"""
+_SEQUENCES = r"""t AS (SELECT seq, paper_id, lower(full_text) AS x, regexp_replace(lower(full_text), '[^\p{L}\p{N}]+', '', 'g') AS bare FROM papers WHERE full_text IS NOT NULL AND paper_id IS NOT NULL),
+w AS (SELECT seq, paper_id, bare, regexp_extract_all(x, '[\p{L}\p{N}_]+') AS words, length(regexp_replace(bare, '[^\x{3400}-\x{9fff}]+', '', 'g')) > 0.3 * length(bare) AS han FROM t),
+s AS (SELECT seq, paper_id, list_distinct(CASE WHEN han THEN list_transform(range(1, length(bare) - 6), lambda i: substring(bare, i, 8)) ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS g FROM w),
+u AS (SELECT seq, unnest(g) AS g FROM s), c AS (SELECT a.seq AS x, b.seq AS y, count(*) AS m FROM u a JOIN u b USING (g) WHERE a.seq < b.seq GROUP BY ALL),
+v AS (SELECT a.paper_id AS pa, b.paper_id AS pb, a.g AS ga, b.g AS gb FROM c JOIN s a ON a.seq = x JOIN s b ON b.seq = y WHERE m / (len(a.g) + len(b.g) - m) > 0.4)"""
+_VERSIONS = f"""WITH {_SEQUENCES}
+SELECT DISTINCT least(pa, pb) AS paper_id_a, greatest(pa, pb) AS paper_id_b FROM v WHERE pa <> pb"""
+# Links are between different texts; a copy has those of its text.
+_CLASSES = f"""WITH RECURSIVE {_SEQUENCES},
+f AS (SELECT DISTINCT paper_id, md5(array_to_string(list_sort(g), '|')) AS fp FROM s WHERE len(g) > 0),
+d AS (SELECT fa, count(DISTINCT fb) AS n FROM (SELECT md5(array_to_string(list_sort(ga), '|')) AS fa, md5(array_to_string(list_sort(gb), '|')) AS fb FROM v UNION ALL SELECT md5(array_to_string(list_sort(gb), '|')), md5(array_to_string(list_sort(ga), '|')) FROM v) WHERE fa <> fb GROUP BY 1),
+e AS (SELECT pa AS a, pb AS b FROM v UNION SELECT pb, pa FROM v),
+reach(a, b) AS (SELECT DISTINCT paper_id, paper_id FROM papers WHERE paper_id IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT a AS paper_id, min(b) AS class_id, any_value(n_links) AS n_links FROM reach LEFT JOIN (SELECT paper_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_links FROM f LEFT JOIN d ON fa = fp GROUP BY 1) ON paper_id = a GROUP BY 1"""
 SQL = {
+    "p3_found": _VERSIONS,
+    "p3_classes": _CLASSES.replace("any_value(n_links)", "coalesce(any_value(n_links), 0)"),
     "p1_found": f"WITH {_FORMS} SELECT first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY key) AS first_seq FROM m) WHERE seq <> first_seq",
     "p1_collapsed": f"WITH {_FORMS} SELECT min(seq) AS first_seq, CAST(count(*) AS BIGINT) AS n_copies FROM m GROUP BY key",
     "p7_whole": """
