@@ -10,9 +10,10 @@
    (insertion, deletion, replacement, swap), two among persons of one place, are variants of one another.
 3. A word's weight is log(1 + N / df), df over all its variants and short forms, so a rare typo of a common
    word stays light. Candidates are bounded by what verification accepts. Of two matching things one has its
-   heaviest word matched, so heaviest words meet all words, their variants included. Of two matching persons any word
-   may be the only matched one, so all words are keys, with a first letter that the rest of both names must share
-   (initials, first letters of the other words, their variants and full forms), which also splits common names.
+   heaviest word matched, so heaviest words meet all words, their variants included. Two matching persons have two words
+   matched, so pairs of words are keys, each word also as its commoner variants and full forms; or one, and initials that
+   cover all else, so a word is a key with a letter that is an initial on at least one side (see _keys). One given
+   name beside surnames of one first letter brings nobody together.
    Persons meet in one place, or where a place is unknown.
 4. A pair is verified by the soft weighted cosine of its words, where each word counts with its best partner
    (equal, variant, nickname, abbreviation, acronym, initial), and must not contradict itself: other given
@@ -31,6 +32,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
 from math import sqrt
 from zlib import crc32
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.components import components
-from lattica.plans.tables import cut
+from lattica.plans.tables import cut, drop, plan_bytes, settled, swept
 
 THETA = 0.6
 GRAM = 4
@@ -52,6 +54,9 @@ LEAST_LETTERS = 4
 STRETCH = 5
 #: Counters of how frequent grams are.
 COUNTERS = 1 << 16
+#: Grams are joined in so many parts at most, one for so many bytes of them, so that only a part is on disk at a time.
+PARTS = 8
+PART_BYTES = 1 << 20
 #: Words of so many letters may differ by more than one edit.
 LONG_LETTERS = 7
 
@@ -467,6 +472,14 @@ def variants(tokens: DataFrame) -> DataFrame:
         counts[r["slot"]] = r["n"]
     found = rows.mapInArrow(_prefix(counts), "scope string, token string, edits int, gram string, pos int")
     prefix = cut(found.select("scope", "token", "edits", F.xxhash64("scope", "gram").alias("k"), "pos"), "prefix")
+    drop(rows)
+    parts = min(PARTS, 1 + plan_bytes(prefix) // PART_BYTES)
+    near = [settled(lambda i=i: _near_pairs(prefix.where(F.pmod("k", F.lit(parts)) == i)), "near") for i in range(parts)]
+    return reduce(DataFrame.unionByName, near).distinct()
+
+
+def _near_pairs(prefix: DataFrame) -> DataFrame:
+    """The variants among words that share one of these grams."""
     # An edit moves the grams behind it by one place at most: places meet in stretches, each word in those its edits may reach.
     # Hashed keys: what a collision brings together, the distance parts.
     reach = F.array_distinct(F.array(*(F.floor((F.col("pos") + d * F.col("edits")) / STRETCH) for d in (-1, 1))))
@@ -481,31 +494,45 @@ def variants(tokens: DataFrame) -> DataFrame:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec, bare, scope, place, keys): for each word of a person, all it may stand as, with each letter the rest of the name offers beside it.
+    """(rec, bare, scope, place, keys): what a person is met by, among those of its place (near) or as a name alone.
 
-    Short forms of one name meet under the full name they stand for; own are the keys a record answers to.
+    A word stands as itself, its commoner variants and the names it is short for, so that of two matching words one stands as
+    the other or both as a third. What verification accepts has two words matched (kind 0), or one and
+    - no other word on either side: an initial shared (0), or no initials on one of them (1 meets 2);
+    - other words on one side only: the other side's initials cover them (1 meets 2);
+    - other words on both sides: initials cover them crosswise, and the word is the heaviest of one side (1 meets 2).
     """
-    names = {w: frozenset(y for y in STANDS if y != w and STANDS[w] & STANDS[y]) for w in STANDS}
     for batch in batches:
-        tokens, letters, own, ends = [], [], [], [0]
-        for words, inits, alts in zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "alts")), strict=True):
-            stands = {w: {w} for w in words}
-            for x in alts or ():
-                stands[x["token"]].add(x["as"])
-            first = {w: {a[0] for a in s} | {f[0] for f in STANDS.get(w, ())} | {y[0] for y in names.get(w, ())} for w, s in stands.items()}
-            for w, s in stands.items():
-                rest = set(inits).union(*(first[y] for y in stands if y != w))
-                if words.count(w) > 1:
-                    rest |= first[w]
-                elif len(words) == 1:
-                    rest.add("")
-                fulls = [f"={f}" for f in STANDS.get(w, ())]
-                for a in (*s, *fulls):
-                    tokens += [a] * len(rest)
-                    letters += rest
-                    own += [a == w or a in fulls] * len(rest)
-            ends.append(len(tokens))
-        keys = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(letters, pa.string()), pa.array(own, pa.bool_())], ["token", "letter", "own"])
+        kinds, nears, texts, ends = [], [], [], [0]
+        for words, inits, heavy, place, alts in zip(*(batch.column(c).to_pylist() for c in ("words", "inits", "heavy", "place", "alts")), strict=True):
+            for near in (False, True) if place is not None else (False,):
+                stands = {w: {w, *(f"={f}" for f in STANDS.get(w, ()))} for w in words}
+                for x in alts or ():
+                    if near or not x["near"]:
+                        stands[x["token"]].add(x["as"])
+                found = set()
+                for i, w in enumerate(words):
+                    for t in stands[w]:
+                        found.update((0, "\x1f".join(sorted((t, u)))) for v in words[i + 1 :] for u in stands[v])
+                        if len(words) == 1:
+                            found.update((kind, f"{t}\x1f{c}\x1f{what}") for c in inits for kind, what in ((0, "single"), (2, "one")))
+                            found.add((2, f"{t}\x1f\x1fnone"))
+                            if not inits:
+                                found.add((1, f"{t}\x1f\x1fnone"))
+                            continue
+                        rest = words[1] if i == 0 else words[0]
+                        firsts = {rest[0], *(f[0] for f in STANDS.get(rest, ()))}
+                        found.update((1, f"{t}\x1f{c}\x1fone") for c in firsts)
+                        if inits:
+                            found.update((2, f"{t}\x1f{c}\x1fboth") for c in inits)
+                            if w in heavy:
+                                found.update((1, f"{t}\x1f{c}\x1fboth") for c in firsts)
+                for kind, text in found:
+                    kinds.append(kind)
+                    nears.append(near)
+                    texts.append(text)
+            ends.append(len(texts))
+        keys = pa.StructArray.from_arrays([pa.array(kinds, pa.int32()), pa.array(nears, pa.bool_()), pa.array(texts, pa.string())], ["kind", "near", "text"])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rec", "bare", "scope", "place")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)], names=["rec", "bare", "scope", "place", "keys"])
 
 
@@ -557,24 +584,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(names: DataFrame) -> DataFrame:
     """(scope, id, grp): from rows (scope, human, id, name, where), the group of each id; ids without a usable name are left out."""
+    with swept(names.sparkSession):
+        return settled(lambda: _linked(names), "linked")
+
+
+def _linked(names: DataFrame) -> DataFrame:
+    """As `linked`; what is written is deleted as soon as nothing reads it any more, as the parts are larger than the input."""
     src = names.where(F.col("name").isNotNull() & F.col("id").isNotNull() & F.col("scope").isNotNull())
     spelt = src.select("scope", "human", "name", "where").distinct()
     parsed = cut(spelt.mapInArrow(_parse, "scope string, human boolean, name string, where string, rec binary, bare binary, words array<string>, inits array<string>, forms array<string>, place string"), "names")
     records = cut(parsed.groupBy("rec").agg(*(F.first(c).alias(c) for c in ("bare", "scope", "human", "words", "inits", "forms", "place"))), "records")
+    ids = cut(_ids(src, parsed), "ids")
+    drop(parsed)
     each = records.select("rec", "scope", F.explode(F.array_distinct("words")).alias("token"))
     tokens = cut(each.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")), "tokens")
     # Forms without gaps are compared like words, so that a typo in one does not part it. Within one place the words
     # are few, so two edits are told from other words there, if these are long.
     wide = tokens.select("scope", "token").unionByName(records.select("scope", F.explode("forms").alias("token"))).distinct().withColumn("edits", F.lit(1))
     local = records.where(F.col("human") & F.col("place").isNotNull()).select(_at().alias("scope"), F.explode("words").alias("token")).where(F.length("token") >= LONG_LETTERS).distinct().withColumn("edits", F.lit(2))
-    similar = cut(variants(wide.unionByName(local)), "variants")
-    full = cut(_weighed(records, each, tokens, similar), "weighed")
-    pairs = cut(_candidates(full, similar), "pairs")
+    similar = settled(lambda: variants(wide.unionByName(local)), "variants")
+    full = settled(lambda: _weighed(records, each, tokens, similar), "weighed")
+    drop(records)
+    pairs = settled(lambda: _candidates(full, tokens, similar), "pairs")
+    drop(tokens, similar)
     lines = full.select("rec", "human", "place", "line").unionByName(full.where("human AND place IS NOT NULL").select(F.col("bare").alias("rec"), "human", F.lit(None).cast("string").alias("place"), _placeless().alias("line"))).dropDuplicates(["rec"])
     a, b = lines.select(F.col("rec").alias("ra"), "human", "place", F.col("line").alias("a")), lines.select(F.col("rec").alias("rb"), F.col("line").alias("b"))
-    checked = pairs.join(a, "ra").join(b, "rb").select("ra", "rb", "place", "human", "a", "b")
+    half = cut(pairs.join(a, "ra"), "half")
+    drop(pairs)
+    checked = half.join(b, "rb").select("ra", "rb", "place", "human", "a", "b")
     links = cut(checked.mapInArrow(_verify, "ra binary, rb binary, place string"), "links")
-    return _groups(src, parsed, full, links)
+    drop(half)
+    brief = cut(full.select("rec", "bare", "human", "place"), "brief")
+    drop(full)
+    return _groups(ids, brief, links)
 
 
 def _at() -> Column:
@@ -592,40 +634,58 @@ def _weighed(records: DataFrame, each: DataFrame, tokens: DataFrame, similar: Da
     around = similar.unionByName(kin).distinct().join(tokens.select("scope", F.col("token").alias("b"), F.col("df").alias("dfb")), ["scope", "b"]).groupBy("scope", F.col("a").alias("token")).agg(F.sum("dfb").alias("more"))
     weight = F.log(1 + F.col("N") / (F.col("df") + F.coalesce("more", F.lit(0))))
     weights = tokens.join(around, ["scope", "token"], "left").join(total, "scope").select("scope", "token", weight.alias("weight"))
-    words = each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws"))
+    words = cut(each.join(weights, ["scope", "token"]).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("ws")), "weights")
     heavy = F.transform(F.filter("ws", lambda x: x["weight"] >= F.col("ws")[0]["weight"]), lambda x: x["token"])
     return records.join(words, "rec").select("rec", "bare", "scope", "human", "place", "words", "inits", F.array_union(heavy, F.col("forms")).alias("heavy"), F.array_union(F.col("ws.token"), F.col("forms")).alias("keys"), _line().alias("line"))
 
 
-def _candidates(full: DataFrame, similar: DataFrame) -> DataFrame:
+def _candidates(full: DataFrame, tokens: DataFrame, similar: DataFrame) -> DataFrame:
     """(ra, rb): pairs of records that verification may accept, each once: of one place, or of names without their places.
 
-    Every record asks with some keys and answers to others; keys are hashed, as verification settles what a collision brings together.
-    A record of unknown place asks names, not records, so that a name that many places have is compared once.
+    Keys are hashed, as verification settles what a collision brings together.
+    A record of unknown place meets names, not records, so that a name that many places have is compared once.
     """
     other = similar.select(F.col("scope").alias("at"), F.col("a").alias("token"), F.col("b").alias("as"))
-    people = full.where("human").select("rec", "bare", "scope", "place", "words", "inits")
+    # Any one order of words will do; by frequency few words stand as many others.
+    often = tokens.groupBy("token").agg(F.sum("df").alias("n"))
+    common = other.join(often, "token").withColumnRenamed("n", "_n").join(often.withColumnRenamed("token", "as"), "as").where(F.struct("n", "as") > F.struct(F.col("_n").alias("n"), F.col("token").alias("as"))).select("at", "token", "as")
+    people = full.where("human").select("rec", "bare", "scope", "place", "words", "inits", "heavy")
     words = people.select("rec", "scope", F.when(F.col("place").isNotNull(), _at()).alias("near"), F.explode(F.array_distinct("words")).alias("token"))
-    spots = words.select("rec", "token", F.explode(F.array_compact(F.array("scope", "near"))).alias("at"))
-    alts = spots.join(other, ["at", "token"]).groupBy("rec").agg(F.collect_set(F.struct("token", "as")).alias("alts"))
-    keys = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, bare binary, scope string, place string, keys array<struct<token:string,letter:string,own:boolean>>"), "keys")
-    keys = keys.select("rec", "bare", "scope", "place", F.explode("keys").alias("x")).select("rec", "bare", "scope", "place", "x.token", "x.letter", "x.own")
+    spots = words.select("rec", "token", F.explode(F.array(F.struct(F.col("scope").alias("at"), F.lit(False).alias("near")), F.struct(F.col("near").alias("at"), F.lit(True).alias("near")))).alias("x")).select("rec", "token", "x.at", "x.near")
+    alts = spots.where("at IS NOT NULL").join(common, ["at", "token"]).groupBy("rec").agg(F.collect_set(F.struct("token", "as", "near")).alias("alts"))
+    written = cut(people.join(alts, "rec", "left").mapInArrow(_keys, "rec binary, bare binary, scope string, place string, keys array<struct<kind:int,near:boolean,text:string>>"), "keys")
+    keys = written.select("rec", "bare", "scope", "place", F.explode("keys").alias("x")).select("rec", "bare", "scope", "place", "x.kind", "x.near", "x.text")
+    meet = lambda kind, *place: F.xxhash64("scope", "text", kind, *place)
+    turned = F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind"))
     # Persons meet in one place, or as names if one's place is unknown.
-    key = lambda place: F.xxhash64("scope", "token", "letter", place)
-    nowhere = F.lit("\x1f")
-    asking = keys.select("rec", key(F.coalesce("place", nowhere)).alias("k"))
-    answering = keys.where("own AND place IS NOT NULL").select("rec", key(F.col("place")).alias("k"))
-    answering = answering.unionByName(keys.where("own").select(F.col("bare").alias("rec"), key(nowhere).alias("k")).distinct())
+    near, far = keys.where("near"), keys.where("NOT near")
+    in_place = _met(near.where("kind < 2").select("rec", meet(F.col("kind"), "place").alias("k")), near.where("kind <> 1").select("rec", meet(turned, "place").alias("k")))
+    as_names = _met(far.where("place IS NULL").select("rec", meet(F.col("kind")).alias("k")), far.select(F.col("bare").alias("rec"), meet(turned).alias("k")).distinct())
     things = full.where("NOT human")
     heads = things.select("rec", "scope", F.explode("heavy").alias("token"))
     heads = heads.unionByName(heads.join(other.withColumnRenamed("at", "scope"), ["scope", "token"]).select("rec", "scope", F.col("as").alias("token")))
-    asking = asking.unionByName(heads.select("rec", F.xxhash64("scope", "token").alias("k")))
-    answering = answering.unionByName(things.select("rec", "scope", F.explode("keys").alias("token")).select("rec", F.xxhash64("scope", "token").alias("k")))
+    of_things = _met(heads.select("rec", F.xxhash64("scope", "token").alias("k")), things.select("rec", "scope", F.explode("keys").alias("token")).select("rec", F.xxhash64("scope", "token").alias("k")))
+    # No pair is in two of them; one after the other they take less disk.
+    in_place, as_names = cut(in_place, "met"), cut(as_names, "met")
+    drop(written)
+    return in_place.unionByName(as_names).unionByName(cut(of_things, "met"))
+
+
+def _met(asking: DataFrame, answering: DataFrame) -> DataFrame:
+    """(ra, rb): the records with one k, each pair once."""
     met = asking.select("k", F.col("rec").alias("ra")).join(answering.select("k", F.col("rec").alias("rb")), "k").where("ra <> rb")
     return met.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
 
 
-def _groups(src: DataFrame, parsed: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
+def _ids(src: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(scope, id, rec): the records of each id."""
+    spelt = src.select("scope", "id", "name", "where").distinct()
+    # A null place joins as the empty one, which no place is parsed from either.
+    by = ["scope", "name", "_where"]
+    return spelt.withColumn("_where", F.coalesce("where", F.lit(""))).join(parsed.select("scope", "name", F.coalesce("where", F.lit("")).alias("_where"), "rec"), by).select("scope", "id", "rec").distinct()
+
+
+def _groups(ids: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
     """(scope, id, grp) from the links between records."""
     # Things have no place: for them every record is of unknown place and all links hold.
     firm = links.where("place IS NOT NULL").select("ra", "rb")
@@ -640,17 +700,14 @@ def _groups(src: DataFrame, parsed: DataFrame, full: DataFrame, links: DataFrame
     free = cut(unplaced.join(torn.select(F.col("open").alias("rec")), "rec", "left_anti"), "free")
     among = asked.join(free.withColumnRenamed("rec", "ra"), "ra", "left_semi").join(free.withColumnRenamed("rec", "rb"), "rb", "left_semi").select("ra", "rb")
     single = placed.select(F.col("rec").alias("ra"), F.col("rec").alias("rb"))
-    groups = cut(components(firm.unionByName(among).unionByName(single)), "groups")
+    groups = settled(lambda: components(firm.unionByName(among).unionByName(single)), "groups")
+    drop(links, asked, free)
     # Of a name, the first and the last of the groups that its places give it; one group only is no doubt.
     held = placed.join(groups.withColumnRenamed("node", "rec"), "rec").groupBy(F.col("bare").alias("rb")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     attach = torn.join(held, "rb").groupBy("open").agg(F.min("low").alias("grp"), F.max("high").alias("other"))
     one = attach.where(F.col("grp") == F.col("other")).select(F.col("open").alias("rec"), "grp")
     alone = attach.where(F.col("grp") != F.col("other")).select(F.col("open").alias("rec"), F.col("open").alias("grp"))
     of_record = groups.select(F.col("node").alias("rec"), F.col("component").alias("grp")).unionByName(one).unionByName(alone)
-    spelt = src.select("scope", "id", "name", "where").distinct()
-    # A null place joins as the empty one, which no place is parsed from either.
-    by = ["scope", "name", "_where"]
-    ids = spelt.withColumn("_where", F.coalesce("where", F.lit(""))).join(parsed.select("scope", "name", F.coalesce("where", F.lit("")).alias("_where"), "rec"), by).select("scope", "id", "rec").distinct()
     return ids.join(of_record, "rec").select("scope", "id", "grp").distinct()
 
 
