@@ -67,14 +67,12 @@ def match_entities(questions: DataFrame, vertices: DataFrame) -> DataFrame:
     Pass 1 matches keywords in names of the type's entities, pass 2 in any name, pass 3 takes all of those
     types. `questions` (question_id, question_type, keywords) is a stated set; it is broadcast if small.
     """
-    asked = maybe_broadcast(questions.select("question_id", "question_type", "keywords"))
-    spark = questions.sparkSession
-    types = maybe_broadcast(priorities(spark).groupBy("question_type").agg(F.collect_set("entity_type").alias("types")))
-    q = asked.join(types, "question_type")
+    types = F.create_map(*(x for q, ts in TYPE_PRIORITY.items() for x in (F.lit(q), F.array(*map(F.lit, ts)))))
+    q = maybe_broadcast(questions.select("question_id", "keywords", types[F.col("question_type")].alias("types")).where("types IS NOT NULL"))
     named = F.exists("keywords", lambda k: F.contains(F.lower("name"), F.lower(F.trim(k))))
     wanted = F.array_contains("types", F.col("entity_type"))
     step = F.when(named & wanted, 1).when(named, 2).when(wanted, 3)
-    hits = vertices.select("entity_id", "entity_type", "name").join(q, F.lit(True)).withColumn("pass", step).where("pass IS NOT NULL")
+    hits = cut(vertices.select("entity_id", "entity_type", "name").join(q, F.lit(True)).select("question_id", "entity_id", step.alias("pass")).where("pass IS NOT NULL"), "hits")
     first = hits.groupBy("question_id").agg(F.min("pass").alias("pass"))
     return hits.join(maybe_broadcast(first), ["question_id", "pass"]).select("question_id", "entity_id", "pass")
 
