@@ -75,3 +75,11 @@ def test_prompts_come_in_parts(spark):
     rows = [(2, 0, 0, "Context:"), (2, 1, 1, "\n- b"), (2, 1, 0, "\n- a"), (1, 0, 0, "x"), (1, 4, 0, "z"), (1, 2, 0, "y")]
     got = calls.answered_parts(spark.createDataFrame(rows, "question_id int, kind int, part long, text string"), lambda p: p, calls.Policy(concurrent=2)).collect()
     assert {r.question_id: r.output for r in got} == {1: "xyz", 2: "Context:\n- a\n- b"}
+
+
+def test_names_without_a_vector_are_not_compared(spark, written):
+    rows = [(f"e{i}", "Model", f"name {i % 50}", [0.0, 0.0], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity_id string, entity_type string, name string, embedding array<double>, seq long")
+    none = spark.createDataFrame([], "alias_text string, canonical_entity_id string, entity_type string")
+    got = resolve.resolve(df.where("seq >= 25"), df.where("seq < 25"), none).collect()
+    assert {r.how for r in got if r.similarity == 0} == {"new"} and len(got) == 375 and written.get("names", 0) == written.get("grams", 0) == 0
